@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, packing, planes, quality
+from . import byte_bpe, language, media, packing, planes, quality, warc
 from .common import documents
 
 
@@ -30,6 +30,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), min_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = language.fit(docs.where(language.remainder(F.col("doc_id"), 5) != 0))
@@ -37,6 +42,20 @@ def op5_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (language.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.media_round_trip(documents(spark, sf_dir, "doc_id", "text"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
