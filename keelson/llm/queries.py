@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, media, packing, planes, quality, warc
+from . import byte_bpe, darts, language, media, packing, planes, quality, warc
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return darts.classes(documents(spark, sf_dir, "doc_id", "text"), size=5, least=0.8)
+
+
 def op4_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), min_bytes=0)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
