@@ -299,3 +299,14 @@ def _apart(pairs: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends aren't in one component."""
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The first row, all columns, of every class of near-duplicates."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "darts-docs")
+    found = classes(staged, id_col=row, **options)
+    gone = written(found.where("doc_id <> class_id").select(F.col("doc_id").alias(row)), "darts-gone")
+    return staged.join(gone, row, "left_anti").select(*docs.columns)
