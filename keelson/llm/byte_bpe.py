@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -91,12 +92,12 @@ class ByteBpe:
             cls._held[vocabulary] = cls(read_ranks(vocabulary), public_tokenizers.PATTERN)
         return cls._held[vocabulary]
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [[p.encode() for p in self.find(t)] for t in texts]
         new = list({p for p in chain.from_iterable(parts) if p not in self.ranks})
         rank_of = self.rank_of.__getitem__
         ids = dict(zip(new, ([*map(rank_of, x)] for x in self.model.encode([mapped(p) for p in new], num_threads=1)), strict=True)) if new else {}
-        return [[i for p in some for i in ((self.ranks[p],) if p in self.ranks else ids[p])] for some in parts]
+        return [array("I", [i for p in some for i in ((self.ranks[p],) if p in self.ranks else ids[p])]).tobytes() for some in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ranks as little-endian unsigned 32-bit integers."""

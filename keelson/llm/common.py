@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 # Unicode White_Space, a fixed value of the pre-tokenisation pattern's \s.
 _WS = " \t-\r" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
-#: White space with the word after it. No pre-token of the public pattern runs from a non-space into
-#: a space, nor looks behind itself, so encoding these one by one equals encoding the whole text.
-SEGMENT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: White space with the word or the signs after it. No pre-token of the public pattern runs from a non-space
+#: into a space, or from a letter or digit into any other sign, and none looks behind itself; so encoding
+#: these one by one equals encoding the whole text. (Signs stay with the letters after them: "'s" is one.)
+SEGMENT = re.compile(rf"[{_WS}]*(?:[^\W_]+|(?:_|[^\w{_WS}])+[^\W_]*)|[{_WS}]+")
 
 #: Words of the contracts: runs without the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,11 +125,12 @@ def segment_sum(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class SegmentEncoder:
     """Encodes texts segment by segment with a bounded cache: natural text repeats most of its words.
 
-    encode: texts to lists of ids, for segments that the cache lacks. The cache is emptied when it holds
-    `most` segments; segments over `longest` characters aren't kept. Neither changes a result.
+    encode: texts to their ids as little-endian unsigned 32-bit integers, for segments that the cache lacks.
+    The cache is emptied when it holds `most` segments (about 160 bytes each); segments over `longest`
+    characters aren't kept. Neither changes a result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_200_000, longest: int = 64):
         self.encode, self.most, self.longest, self.cache = encode, most, longest, {}
 
     def __call__(self, texts: list[str], pattern: re.Pattern = SEGMENT, prefix: str = "") -> list[bytes]:
@@ -142,8 +144,7 @@ class SegmentEncoder:
         new = list(set(filterfalse(self.cache.__contains__, chain.from_iterable(segments))))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            ids = self.encode([prefix + s for s in part] if prefix else part)
-            self.cache.update((s, array("I", x).tobytes()) for s, x in zip(part, ids, strict=True))
+            self.cache.update(zip(part, self.encode([prefix + s for s in part] if prefix else part), strict=True))
         return [s for s in new if len(s) > self.longest]
 
     def drop(self, long: list[str]) -> None:
@@ -161,19 +162,43 @@ class SegmentEncoder:
 _ENCODERS: dict[str, SegmentEncoder] = {}
 
 
-def json_encoder(name: str) -> SegmentEncoder:
-    """Over the tokenizers library and a file of the public vocabulary package; one for each Python worker.
+class JsonTokenizer:
+    """The tokenizers library over a file of the public vocabulary package, special tokens' strings as ordinary text."""
 
-    The strings of special tokens are ordinary text, and none is added.
-    """
-    if name not in _ENCODERS:
+    def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[name] = SegmentEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
+        self.tokenizer.encode_special_tokens = True
+        # a character of a byte-level token stands for a byte
+        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts that begin with a space or line break and end in a letter are encoded in runs, which costs less a text:
+        no token spans two of them, so the tokens' bytes tell where each begins."""
+        plain = [bool(t) and t[0] in " \n" and t[-1].isalnum() for t in texts]
+        alone = [t for t, p in zip(texts, plain, strict=True) if not p]
+        rest = iter(self._ids(alone))
+        run, joined = [t for t, p in zip(texts, plain, strict=True) if p], []
+        for at in range(0, len(run), 400):
+            part = run[at : at + 400]
+            data = self._ids(["".join(part)])[0]
+            ends = np.cumsum(self.sizes[np.frombuffer(data, np.uint32)])
+            cuts = [0, *(4 * (np.searchsorted(ends, np.cumsum([len(t.encode()) for t in part])) + 1)).tolist()]
+            joined += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        of_run = iter(joined)
+        return [next(of_run) if p else next(rest) for p in plain]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def json_encoder(name: str) -> SegmentEncoder:
+    """One for each Python worker."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = SegmentEncoder(JsonTokenizer(name).encode)
     return _ENCODERS[name]
 
 
