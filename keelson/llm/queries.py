@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, darts, language, media, packing, planes, quality, warc
+from . import attention, byte_bpe, darts, language, media, packing, planes, quality, warc
 from .common import documents
 
 
@@ -46,6 +46,10 @@ def op5_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (language.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.score(documents(spark, sf_dir, "doc_id", "text"), "crc32(CAST(coalesce(CAST(doc_id AS STRING), '') AS BINARY)) % 7 = 2")
+
+
 def op9_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.media_round_trip(documents(spark, sf_dir, "doc_id", "text"))
     return read.select(
