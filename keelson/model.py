@@ -274,6 +274,8 @@ class Database:
             for injection in table.injections:
                 for ref in next((p.refs for p in self.partials if p.name == injection.name), ()):
                     first, second = ref.ends
+                    if not first.table:
+                        first = Endpoint(table.name, first.columns, first.relation, table.schema)
                     out.append(Ref((first, Endpoint(table.name, second.columns, second.relation, table.schema)), on_delete=ref.on_delete, on_update=ref.on_update, partial=injection.name))
         return out
 

@@ -103,7 +103,7 @@ class _Parser:
         return None if schema == DEFAULT_SCHEMA else schema, names[-1]
 
     def string(self) -> str:
-        if self.now.kind != "string":
+        if self.now.kind not in ("string", "quoted"):
             self.fail(Code.INVALID_VALUE, f"expected a string, found {self.now.text!r}")
         return self.take().text
 
@@ -182,8 +182,10 @@ class _Parser:
     def text_setting(self, settings: dict[str, list], key: str) -> str | None:
         return self.read(settings[key][0], self.string, key) if key in settings else None
 
-    def color(self) -> str:
+    def color(self) -> str | None:
         token = self.take()
+        if token.kind == "word" and token.text.lower() == "none":
+            return None
         if token.kind != "color" or not re.fullmatch(r"#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})", token.text):
             self.fail(Code.INVALID_VALUE, "a color is #rgb or #rrggbb", token)
         return token.text
@@ -195,14 +197,21 @@ class _Parser:
         text = self.text_setting(settings, "note")
         return None if text is None else tidy_note(text)
 
+    def sign(self) -> int:
+        """-1 or 1 of the signs that come next, 0 if there are none."""
+        sign = 0
+        while self.is_op("-", "+"):
+            sign = (sign or 1) * (-1 if self.take().text == "-" else 1)
+        return sign
+
     def default(self) -> Default:
-        sign = "-" if self.accept("-") else "" if not self.accept("+") else ""
+        sign = self.sign()
         token = self.now
         if token.kind == "number":
-            return Default("number", sign + self.take().text)
+            return Default("number", ("-" if sign < 0 else "") + self.take().text)
         if sign:
             self.fail(Code.INVALID_VALUE, "a sign needs a number")
-        if token.kind == "string":
+        if token.kind in ("string", "quoted") and not (self.peek().kind == "op" and self.peek().text == "."):
             return Default("string", self.take().text)
         if token.kind == "expression":
             return Default("expression", self.take().text)
@@ -265,18 +274,18 @@ class _Parser:
     def partial(self) -> None:
         line = self.now
         partial = Table(self.name())
-        self._table_body(partial, line)
+        self._table_body(partial, line, True)
         self.db.partials.append(partial)
 
-    def _table_body(self, table: Table, line: Token) -> None:
+    def _table_body(self, table: Table, line: Token, partial: bool = False) -> None:
         settings = self.settings()
         self.only(settings, {"headercolor", "note"})
         table.color, table.note = self.color_setting(settings, "headercolor"), self.note_setting(settings)
-        self.items(lambda: self._table_item(table))
-        if not table.columns and not table.injections:
+        self.items(lambda: self._table_item(table, partial))
+        if not table.columns and not table.injections and not partial:
             self.note_error(Code.EMPTY_ELEMENT, f"{table.name} has no column", line)
 
-    def _table_item(self, table: Table) -> None:
+    def _table_item(self, table: Table, partial: bool) -> None:
         word, after = self.now.text.lower(), self.peek()
         block = after.kind == "op" and after.text == "{"
         if self.accept("~"):
@@ -298,9 +307,9 @@ class _Parser:
             columns = self._names() if self.is_op("(") else None
             self._record_rows(table.name, table.schema, columns, token.line, table)
         else:
-            self._column(table)
+            self._column(table, partial)
 
-    def _column(self, table: Table) -> None:
+    def _column(self, table: Table, partial: bool) -> None:
         name = self.name()
         column = Column(name, "")
         column.type_schema, column.type = self._type()
@@ -323,6 +332,8 @@ class _Parser:
             op, end = self.read(span, self._inline_ref, "ref")
             mine, other = SIDES[op]
             end.relation = other
+            if not end.table and not partial:
+                end.table, end.schema = table.name, table.schema
             ref = Ref((end, Endpoint(table.name, [name], mine, table.schema)))
             table.refs.append(ref)
         table.columns.append(column)
@@ -351,8 +362,11 @@ class _Parser:
         op = self.take().text
         if op not in SIDES:
             self.fail(Code.INVALID_VALUE, f"{op!r} is no relation")
+        self.accept(".")
         names = self.dotted()
-        if len(names) not in (2, 3):
+        if len(names) == 1:  # a column of the table itself
+            return op, Endpoint("", names, "")
+        if len(names) > 3:
             self.fail(Code.INVALID_VALUE, "a ref names table.column")
         return op, Endpoint(names[-2], [names[-1]], "", names[0] if len(names) == 3 and names[0] != DEFAULT_SCHEMA else None)
 
@@ -540,12 +554,12 @@ class _Parser:
         rows: list[list[Cell]] = []
 
         def row() -> None:
-            cells, first = [], self.now
+            cells: list[Cell] = []
             while True:
-                cells.append(Cell("null") if self.is_op(",", "}") or self.now.fresh and cells and self.now is not first else self._cell())
-                if not self.is_op(","):
+                ended = self.is_op("}") or bool(cells) and self.now.fresh  # behind a last comma
+                cells.append(Cell("null") if ended or self.is_op(",") else self._cell())
+                if ended or not self.accept(","):
                     break
-                self.take()
             rows.append(cells)
             if not (self.now.fresh or self.is_op("}")):
                 self.fail(Code.UNEXPECTED_SYMBOL, f"unexpected {self.now.text!r} in a record")
@@ -554,7 +568,7 @@ class _Parser:
         self.db.records.append(Records(name, columns or [], rows, schema, line))
 
     def _cell(self) -> Cell:
-        sign = -1 if self.accept("-") else 1 if self.accept("+") else 0
+        sign = self.sign()
         token = self.now
         if token.kind == "number":
             text = self.take().text
@@ -623,7 +637,7 @@ def bind(db: Database, file: str = "") -> Report:
         merged = inject(table, partials)
         flagged = [c for c in merged.columns if c.pk]
         if len(flagged) > 1:
-            merged.columns = [Column(**{**c.__dict__, "pk": False, "not_null": True if c.pk else c.not_null}) for c in merged.columns]
+            merged.columns = [Column(**{**c.__dict__, "pk": False}) for c in merged.columns]
             merged.indexes.insert(0, Index([IndexPart(c.name) for c in flagged], pk=True))
         names = {c.name for c in merged.columns}
         for index in merged.indexes:
