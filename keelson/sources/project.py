@@ -20,7 +20,7 @@ class MemoryLayout:
     """Sources by path."""
 
     def __init__(self, files: dict[str, str]):
-        self.files = {posixpath.normpath("/" + k): v for k, v in files.items()}
+        self.files = {posixpath.normpath("/" + k.lstrip("/")): v for k, v in files.items()}
 
     def read(self, path: str) -> str | None:
         return self.files.get(path)
@@ -45,7 +45,7 @@ class FolderLayout(MemoryLayout):
 
 def load(layout: MemoryLayout, entry: str) -> tuple[dict[str, Database], list[Diagnostic]]:
     """Every file that entry reaches, breadth first; cycles are fine."""
-    entry = posixpath.normpath("/" + entry)
+    entry = posixpath.normpath("/" + entry.lstrip("/"))
     found: dict[str, Database] = {}
     errors: list[Diagnostic] = []
     queue = deque([(entry, None)])
@@ -101,7 +101,7 @@ def _imported(layout: MemoryLayout, files: dict[str, Database], path: str, i: Im
 
 def compile_project(layout: MemoryLayout, entry: str) -> Report:
     """The Database of entry with what it imports; refs come along where both their tables do."""
-    entry = posixpath.normpath("/" + entry)
+    entry = posixpath.normpath("/" + entry.lstrip("/"))
     files, errors = load(layout, entry)
     if errors:
         return Report(Database(), errors)
