@@ -80,6 +80,17 @@ def _visible(layout: MemoryLayout, files: dict[str, Database], path: str, seen:
     return out
 
 
+def _copy(element, **changes):
+    """A changed element that remembers which one it came from."""
+    out = replace(element, **{k: v for k, v in changes.items() if hasattr(element, k)})
+    out.__dict__["_origin"] = _origin(element)
+    return out
+
+
+def _origin(element):
+    return element.__dict__.get("_origin", element)
+
+
 def _imported(layout: MemoryLayout, files: dict[str, Database], path: str, i: Import, seen: frozenset[str]) -> tuple[dict[tuple[str, str], object], list[Diagnostic]]:
     there = _visible(layout, files, layout.resolve(path, i.path), seen)
     if i.names is None:
@@ -94,7 +105,7 @@ def _imported(layout: MemoryLayout, files: dict[str, Database], path: str, i: Im
             errors.append(Diagnostic(Code.NOT_FOUND, f"no {kind} {name} in {i.path}", 0, path))
         for (k, full), v in some.items():
             if alias and kind != "schema":
-                v, full = replace(v, name=alias, schema=None), alias
+                v, full = _copy(v, name=alias, schema=None), alias
             out[k, full] = v
     return out, errors
 
@@ -108,24 +119,23 @@ def compile_project(layout: MemoryLayout, entry: str) -> Report:
     own = files[entry]
     out = Database(list(own.tables), list(own.enums), list(own.refs), list(own.groups), list(own.partials), list(own.records), list(own.notes), list(own.views), own.project, own.imports)
     slots = {Table: out.tables, EnumType: out.enums, Group: out.groups, Note: out.notes}
-    placed: dict[tuple[str, str], Table] = {}
+    placed: dict[int, Table] = {}  # by the identity of the element that was imported
     for i in own.imports:
         there, found = _imported(layout, files, entry, i, frozenset())
         errors += found
         for (kind, full), v in there.items():
             slot = out.partials if kind == "tablepartial" else slots[type(v)]
-            if v not in slot:
-                slot.append(v)
+            if any(_origin(x) is _origin(v) and x.name == v.name for x in slot):
+                continue
             if kind == "table":
-                placed[full] = v
-                v.refs = []
-    origin = {(t.schema, t.name): t for db in files.values() for t in db.tables}
-    names = {id(origin.get((v.schema, v.name), v)): v for v in placed.values()}
+                v = _copy(v, refs=[])
+                placed[id(_origin(v))] = v
+            slot.append(v)
     for path, db in files.items():
         if path == entry:
             continue
         for ref in [*db.refs, *(r for t in db.tables for r in t.refs)]:
-            ends = [names.get(id(origin.get((e.schema, e.table)))) for e in ref.ends]
+            ends = [placed.get(id(db.table(e.table, e.schema))) for e in ref.ends]
             if all(ends):
                 a, b = (Endpoint(t.name, e.columns, e.relation, t.schema) for t, e in zip(ends, ref.ends, strict=True))
                 out.refs.append(Ref((a, b), ref.name, ref.on_delete, ref.on_update, ref.color, ref.inactive))
