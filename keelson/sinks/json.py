@@ -20,9 +20,9 @@ def normalise(db: Database) -> dict[str, dict[int, dict]]:
     """One map for each kind of entity; children name their parents by id."""
     out: dict[str, dict[int, dict]] = {k: {} for k in ("tables", "fields", "indexes", "index_columns", "checks", "enums", "enum_values", "refs", "endpoints", "groups", "partials", "notes", "records", "project")}
 
-    def add(kind: str, **row) -> int:
-        key = len(out[kind]) + 1
-        out[kind][key] = {"id": key, **row}
+    def add(entity: str, /, **row) -> int:
+        key = len(out[entity]) + 1
+        out[entity][key] = {"id": key, **row}
         return key
 
     field_ids, table_ids = {}, {}

@@ -354,6 +354,8 @@ class _Parser:
         while self.is_op("[") and self.tokens[self.at - 1].end == self.now.begin:
             begin = self.take()
             while not self.is_op("]"):
+                if self.now.kind == "end":
+                    self.fail(Code.UNCLOSED, "a bracket is not closed", begin)
                 self.take()
             text += self.source[begin.begin : self.take().end]
         return schema, text
