@@ -124,7 +124,9 @@ class ArchiveReader(DataSourceReader):
         root = self.path.rstrip("/")
         return [ByteRange(f"{root}/{path.rsplit('/', 1)[1]}", at, min(at + self.range_bytes, size)) for path, size in found for at in range(0, size, self.range_bytes)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, ByteRange):  # Spark's plan of an empty folder
+            return
         with open_input(partition.archive) as file, zipfile.ZipFile(file) as archive:
             members = [m for m in archive.infolist() if partition.begin <= m.header_offset < partition.end]
         rows, held = [], 0
@@ -177,7 +179,7 @@ def signal_feature(payload: bytes) -> str:
 def features(payload: str) -> Column:
     """signal_feature of a binary column; null gives null."""
 
-    def of(values: "pd.Series") -> "pd.Series":
+    def of(values: pd.Series) -> pd.Series:
         return values.map(signal_feature, na_action="ignore")
 
     return F.pandas_udf(of, "string")(payload)

@@ -124,18 +124,27 @@ def read_shard(file, step: int = 1 << 16) -> Iterator[bytes]:
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with revisit (boolean) and refers_to: of rows with equal html of min_bytes or
-    more, the one with the least page_id (null last; of equal ids the first row) is no revisit, the others name it.
+    more, the one with the least page_id (null last), then url, is no revisit, the others name it.
 
-    Digests and ids alone are grouped, with partial sums, so a payload shared by a third of all rows gives a few
+    Digests, ids and urls alone are grouped, with partial sums, so a payload shared by a third of all rows gives a few
     rows for each task. Payloads that occur more than once are written out and joined from there: where they are
-    small, no page is shuffled; else a hot payload's rows can be split by the adaptive join.
+    small, no page is shuffled; else a hot payload's rows can be split by the adaptive join. Only where a first row
+    is repeated as a whole must rows be told apart by number; then the pages are written out once with numbers.
     """
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = keyed.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("row").alias("row"))
-    groups = keyed.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = written(groups.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")), "warc-repeated")
-    revisit = F.coalesce(F.col("row") != F.col("first_row"), F.lit(False))
+    digest = F.unhex(F.sha1(F.col("html").cast("binary")))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", digest)
+    long = keyed.where(F.octet_length("html") >= min_bytes)
+    place = [F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("url").alias("url")]
+    rows = long.groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"))
+    groups = rows.groupBy("digest").agg(F.min(F.struct(*place, F.col("n"))).alias("first"), F.sum("n").alias("n")).where("n > 1")
+    repeated = written(groups.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.url").alias("first_url"), F.col("first.n").alias("first_n")), "warc-repeated")
+    is_first = F.col("page_id").eqNullSafe(F.col("first_page")) & (F.col("url") == F.col("first_url"))
+    if repeated.where("first_n > 1").limit(1).count():
+        keyed = written(keyed.withColumn("row", F.monotonically_increasing_id()), "warc-pages")
+        candidates = keyed.join(repeated, "digest").where(is_first).groupBy("digest").agg(F.min("row").alias("first_row"))
+        repeated = written(repeated.join(candidates, "digest"), "warc-repeated")
+        is_first = F.col("row") == F.col("first_row")
+    revisit = F.coalesce(F.col("first_n").isNotNull() & ~is_first, F.lit(False))
     return keyed.join(repeated, "digest", "left").select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first_page")).alias("refers_to"))
 
 
