@@ -65,9 +65,9 @@ def bad_rows(df: DataFrame, table: Table, db: Database | None = None) -> DataFra
     return df.withColumn("__broken", F.explode(F.filter(broken, lambda x: x.isNotNull()))).select(*df.columns, "__broken.rule", "__broken.rule_column", "__broken.message")
 
 
-def rule_counts(df: DataFrame, table: Table, db: Database | None = None) -> DataFrame:
-    """rule, rule_column and n: all rules counted in one aggregate over one scan."""
-    found = rules(df, table, db)
+def rule_counts(df: DataFrame, table: Table, db: Database | None = None, more: list[tuple[str, str, Column]] = ()) -> DataFrame:
+    """rule, rule_column and n: all rules, and more (rule, column, predicate), counted in one aggregate over one scan."""
+    found = [*rules(df, table, db), *((rule, column, bad, "") for rule, column, bad in more)]
     if not found:
         return df.sparkSession.createDataFrame([], "rule string, rule_column string, n long")
     sums = df.agg(*(F.count(F.when(bad, 1)).alias(f"r{i}") for i, (_, _, bad, _) in enumerate(found)))

@@ -118,6 +118,15 @@ class Contract:
             out.append((f"{key.kind}_duplicate", names, keys.duplicate_rows(full, names, defaults), f"Duplicate {what}{key.kind.upper()}: {label}"))
         return out
 
+    def null_keys(self, table: Table) -> list[tuple[str, str, Column]]:
+        """(pk_null, columns, predicate) of each pk whose columns the frame has, for counting them with the row rules."""
+        df, out = self.frame(table), []
+        for key in self.table_keys(table):
+            free = [n for n in key.columns if n not in self.defaults(table, key.columns) and not self._fills(table, n)]
+            if key.kind == "pk" and free and set(key.columns) <= set(df.columns):
+                out.append(("pk_null", ",".join(key.columns), keys.any_null([df[n] for n in free])))
+        return out
+
     def edge_parts(self) -> list[tuple[Edge, Table, DataFrame]]:
         """Orphans of every direction of every ref, those of partials included. An edge is left out only where neither
         side has a frame; a side without one is empty."""
@@ -166,8 +175,10 @@ class Contract:
             if df is None:
                 continue
             name = ".".join(table.key)
-            parts.append(rows.rule_counts(df, table, self.db).select("rule", F.lit(name).alias("table_name"), F.col("rule_column").alias("column_names"), F.col("n").alias("violations")))
-            parts += [_count(found, rule, name, names) for rule, names, found, _ in self.key_parts(table)]
+            nulls = self.null_keys(table)
+            parts.append(rows.rule_counts(df, table, self.db, nulls).select("rule", F.lit(name).alias("table_name"), F.col("rule_column").alias("column_names"), F.col("n").alias("violations")))
+            counted = {(rule, names) for rule, names, _ in nulls}
+            parts += [_count(found, rule, name, names) for rule, names, found, _ in self.key_parts(table) if (rule, ",".join(names)) not in counted]
         parts += [_count(found, "fk", ".".join(table.key), edge.source.columns) for edge, table, found in self.edge_parts()]
         return reduce(DataFrame.unionByName, parts).groupBy("rule", "table_name", "column_names").agg(F.sum("violations").alias("violations"))
 
