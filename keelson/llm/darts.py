@@ -169,22 +169,25 @@ def sign(docs: DataFrame, k: int, size: int, weights: str) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, node long, sig binary, text string")
 
 
-def bands(sig: Column, k: int, rows: int) -> Column:
-    """A hash of each band's number and rows."""
-    return F.transform(F.sequence(F.lit(0), F.lit(k // rows - 1)), lambda b: F.xxhash64(b, F.substring(sig, b * (4 * rows) + 1, F.lit(4 * rows))))
+def bands(sig: Column, k: int, rows: int, after: Column | int = -1) -> Column:
+    """struct(band, hash of the band's rows) of each band with a number over `after`."""
+    last = k // rows - 1
+    some = F.when(F.lit(after) < last, F.sequence(F.lit(after).cast("int") + 1, F.lit(last))).otherwise(F.array().cast("array<int>"))
+    return F.transform(some, lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(sig, b * (4 * rows) + 1, F.lit(4 * rows))).alias("bucket")))
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float, k: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree at `least` of the coordinates."""
+    """The pairs (a, b) whose signatures agree at `least` of the coordinates, and that share."""
     both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, k) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least * k))
+                share = (x == y).mean(1)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= least))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, share double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, weights: str) -> DataFrame:
@@ -225,24 +228,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least: float = 0.8, weights: str = "set", id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
+def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least: float = 0.8, weights: str = "set", large: int = 200, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """doc_id and class_id of every row: the least doc_id among all rows tied to it by links, a link being two
     texts whose shingles have a Jaccard similarity of `least` or more, or the same words.
 
     1. Copies (the same words) collapse to one node. Each node has a signature of k coordinates in k / rows
        bands; a link of similarity 0.8 shares a band with probability 0.9999 (defaults).
-    2. In every band bucket all nodes are compared with a leader, the least one: first their signatures
-       (a pair under least - 0.2 there is let go: over five standard deviations), then exactly by shingles.
-       Nodes linked to the leader leave the bucket, the others go on to the next round with a new leader, until
-       no bucket has two nodes. A round makes no more pairs than it has bucket members, however large a bucket.
-    3. A node b left over after a leader l took node a away can have a link with a only where the distance of
-       b and l is at most twice that of a link (distances obey the triangle inequality). Those pairs, unless
-       by then in one component, are compared too. So no link is lost but by 1 and the margin in 2.
+    2. In every band bucket all nodes are compared by signature with a leader, the least one. Nodes that agree with it
+       at least + 0.04 of the coordinates leave, as they are tied to it almost surely; the others go on with new
+       leaders, up to 32 in each later round, until no bucket has two nodes. What is left of a bucket of more than
+       `large` nodes after its second round is cut finer, by each later band in turn: unlike texts (those that share
+       a passage, say) hardly ever share two bands, those of a link do with probability 0.999. A round makes no more
+       than 32 pairs for each bucket member, however large a bucket is.
+    3. Every pair that agreed at least - 0.2 (a link falls below that by chance of five standard deviations) is compared
+       exactly, by its shingles.
+    4. A node b that was compared with a leader l before or after node a was tied to l can have a link with a only where
+       the distance of b and l is at most twice that of a link (distances obey the triangle inequality). Those
+       pairs, unless by then in one component, are compared too.
 
     Null or empty text: all such rows are copies of each other. A null doc_id takes part as any row; it is never
     the class_id unless all of the class are null. Repeated rows come out each. Other columns aren't read. Empty
     table: no rows. Every step is a table in the shared folder, so a lost executor repeats one step at most.
-    weights: "set", or "count" for the weighted similarity of shingle counts. report: gets counts of the steps.
+    weights: "set", or "count" for the weighted similarity of shingle counts. report: gets the number of rounds and the
+    links of step 4.
     """
     if k % rows or weights not in ("set", "count"):
         raise ValueError("rows must divide k, and weights be set or count")
@@ -250,41 +258,49 @@ def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least:
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(sign(keyed, k, size, weights), "darts-signed")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("sig").alias("sig")), "darts-nodes")
-    members = nodes.where("sig IS NOT NULL").select("node", F.explode(bands(F.col("sig"), k, rows)).alias("bucket"))
+    members = nodes.where("sig IS NOT NULL").select("node", F.inline(bands(F.col("sig"), k, rows)))
 
-    def led(members: DataFrame) -> DataFrame:
-        """Members of buckets with two nodes or more, with the leader. Buckets are counted first and written, so that
-        a hot bucket's members can be split by the adaptive join."""
-        leaders = written(members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader"), "darts-leaders")
-        return written(members.join(leaders, "bucket").where("node <> leader"), "darts-members")
+    def led(members: DataFrame, slots: int) -> DataFrame:
+        """Members of buckets with two nodes or more, with the bucket's size and leaders: the least node of each of `slots`
+        parts of it. Buckets are summed up first and written, so that a hot bucket's members can be split by the
+        adaptive join."""
+        parts = members.groupBy("bucket", F.pmod(F.xxhash64("node", "bucket"), F.lit(slots)).alias("slot")).agg(F.min("node").alias("leader"), F.count("*").alias("n"))
+        leaders = written(parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.collect_list("leader").alias("leaders")).where("size > 1"), "darts-leaders")
+        return written(members.join(leaders, "bucket"), "darts-members")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        near = written(_agreeing(pairs, nodes, least - 0.2, k), "darts-agreeing")
+    def compared(near: DataFrame) -> DataFrame:
         ends = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
         first = written(nodes.join(ends, "node", "left_semi").select("node", "row"), "darts-ends")
         texts = written(signed.select("row", "text").join(first, "row").select("node", "text"), "darts-texts")
-        return written(_verified(near, texts, size, weights), "darts-compared")
+        return written(_verified(near.select("a", "b"), texts, size, weights), "darts-compared")
 
-    members, results, known = led(members), [], None
+    found, rounds = [], 0
+    members = led(members, 1)
     while members.limit(1).count():
-        pairs = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        results.append(compared(pairs))
-        report.setdefault("rounds", []).append(results[-1])
-        all_ = results[0]
-        for r in results[1:]:
-            all_ = all_.unionAll(r)
-        known = all_.select("a", "b")
-        linked = all_.where(F.col("similarity") >= least).select(F.col("a").alias("node"), F.col("b").alias("leader"))
-        members = led(members.join(linked, ["node", "leader"], "left_anti").select("node", "bucket"))
-    if not results:
+        rounds += 1
+        faced = members.select("bucket", "node", "leaders", F.explode("leaders").alias("leader")).where("node <> leader AND NOT (array_contains(leaders, node) AND node < leader)")
+        pairs = faced.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        found.append(written(_agreeing(pairs, nodes, least - 0.2, k), "darts-agreeing"))
+        tied = found[-1].where(F.col("share") >= least + 0.04).select(F.col("a").alias("node"), F.col("b").alias("leader"))
+        gone = faced.join(tied, ["node", "leader"]).select("bucket", "node").distinct()
+        left = members.where("NOT array_contains(leaders, node)").join(gone, ["bucket", "node"], "left_anti").select("node", "band", "bucket", "size")
+        if rounds > 1:  # what is left of large buckets is cut finer
+            left = written(left, "darts-left")
+            finer = left.where(F.col("size") > large).join(nodes.select("node", "sig"), "node").select("node", F.col("bucket").alias("own"), F.inline(bands(F.col("sig"), k, rows, F.col("band"))))
+            left = left.where(F.col("size") <= large).select("node", "band", "bucket").unionAll(finer.select("node", "band", F.xxhash64("own", "bucket").alias("bucket")))
+        members = led(left.select("node", "band", "bucket"), 32)
+    report["rounds"] = rounds
+    if not found:
         return signed.join(nodes.select("node", F.col("doc_id").alias("class_id")), "node").select("doc_id", "class_id")
+    near = found[0]
+    for f in found[1:]:
+        near = near.unionAll(f)
+    all_ = compared(written(near.select("a", "b").distinct(), "darts-near"))
     links = written(all_.where(F.col("similarity") >= least).select("a", "b"), "darts-links")
     labels = components(links)
     apart = _apart(all_.where((F.col("similarity") < least) & (F.col("similarity") >= 2 * least - 1)).select("a", "b"), labels, nodes)
     bridges = apart.select("a", F.col("b").alias("leader")).join(links.select(F.col("b").alias("leader"), F.col("a").alias("b")), "leader").where("a <> b").select("a", "b").distinct()
-    more = compared(_apart(bridges, labels, nodes)).where(F.col("similarity") >= least)
+    more = compared(written(_agreeing(_apart(bridges, labels, nodes), nodes, least - 0.2, k), "darts-bridges")).where(F.col("similarity") >= least)
     report["bridges"] = more
     if more.limit(1).count():
         links = written(links.unionAll(more.select("a", "b")), "darts-links")
