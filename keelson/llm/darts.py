@@ -228,7 +228,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least: float = 0.8, weights: str = "set", large: int = 200, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
+def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least: float = 0.8, weights: str = "set", large: int = 32, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """doc_id and class_id of every row: the least doc_id among all rows tied to it by links, a link being two
     texts whose shingles have a Jaccard similarity of `least` or more, or the same words.
 
@@ -236,10 +236,10 @@ def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least:
        bands; a link of similarity 0.8 shares a band with probability 0.9999 (defaults).
     2. In every band bucket all nodes are compared by signature with a leader, the least one. Nodes that agree with it
        at least + 0.04 of the coordinates leave, as they are tied to it almost surely; the others go on with new
-       leaders, up to 32 in each later round, until no bucket has two nodes. What is left of a bucket of more than
-       `large` nodes after its second round is cut finer, by each later band in turn: unlike texts (those that share
-       a passage, say) hardly ever share two bands, those of a link do with probability 0.999. A round makes no more
-       than 32 pairs for each bucket member, however large a bucket is.
+       leaders, up to 4 in each later round, until no bucket has two nodes. What is left of a bucket after its first
+       round, if more than `large` nodes, is first cut finer, by each later band in turn: unlike texts (those that
+       share a passage, say) hardly ever share two bands, those of a link do with probability 0.999. A round makes no
+       more than 4 pairs for each bucket member, however large a bucket is.
     3. Every pair that agreed at least - 0.2 (a link falls below that by chance of five standard deviations) is compared
        exactly, by its shingles.
     4. A node b that was compared with a leader l before or after node a was tied to l can have a link with a only where
@@ -278,26 +278,33 @@ def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least:
     members = led(members, 1)
     while members.limit(1).count():
         rounds += 1
-        faced = members.select("bucket", "node", "leaders", F.explode("leaders").alias("leader")).where("node <> leader AND NOT (array_contains(leaders, node) AND node < leader)")
+        few = members if rounds == 1 else members.where(F.col("size") <= large)
+        faced = few.select("bucket", "node", "leaders", F.explode("leaders").alias("leader")).where("node <> leader AND NOT (array_contains(leaders, node) AND node < leader)")
         pairs = faced.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         found.append(written(_agreeing(pairs, nodes, least - 0.2, k), "darts-agreeing"))
         tied = found[-1].where(F.col("share") >= least + 0.04).select(F.col("a").alias("node"), F.col("b").alias("leader"))
         gone = faced.join(tied, ["node", "leader"]).select("bucket", "node").distinct()
-        left = members.where("NOT array_contains(leaders, node)").join(gone, ["bucket", "node"], "left_anti").select("node", "band", "bucket", "size")
-        if rounds > 1:  # what is left of large buckets is cut finer
-            left = written(left, "darts-left")
-            finer = left.where(F.col("size") > large).join(nodes.select("node", "sig"), "node").select("node", F.col("bucket").alias("own"), F.inline(bands(F.col("sig"), k, rows, F.col("band"))))
-            left = left.where(F.col("size") <= large).select("node", "band", "bucket").unionAll(finer.select("node", "band", F.xxhash64("own", "bucket").alias("bucket")))
-        members = led(left.select("node", "band", "bucket"), 32)
+        left = few.where("NOT array_contains(leaders, node)").join(gone, ["bucket", "node"], "left_anti").select("node", "band", "bucket")
+        if rounds > 1:  # buckets that are still large are cut finer
+            finer = members.where(F.col("size") > large).join(nodes.select("node", "sig"), "node").select("node", F.col("bucket").alias("own"), F.inline(bands(F.col("sig"), k, rows, F.col("band"))))
+            left = left.unionAll(finer.select("node", "band", F.xxhash64("own", "bucket").alias("bucket")))
+        members = led(left, 4)
     report["rounds"] = rounds
     if not found:
         return signed.join(nodes.select("node", F.col("doc_id").alias("class_id")), "node").select("doc_id", "class_id")
     near = found[0]
     for f in found[1:]:
         near = near.unionAll(f)
-    all_ = compared(written(near.select("a", "b").distinct(), "darts-near"))
+    near = written(near.groupBy("a", "b").agg(F.max("share").alias("share")), "darts-near")
+    sure = F.col("share") >= least + 0.04
+    all_ = compared(near.where(sure))
     links = written(all_.where(F.col("similarity") >= least).select("a", "b"), "darts-links")
     labels = components(links)
+    rest = compared(written(_apart(near.where(~sure).select("a", "b"), labels, nodes), "darts-apart"))
+    all_ = all_.unionAll(rest)
+    if rest.where(F.col("similarity") >= least).limit(1).count():
+        links = written(links.unionAll(rest.where(F.col("similarity") >= least).select("a", "b")), "darts-links")
+        labels = components(links)
     apart = _apart(all_.where((F.col("similarity") < least) & (F.col("similarity") >= 2 * least - 1)).select("a", "b"), labels, nodes)
     bridges = apart.select("a", F.col("b").alias("leader")).join(links.select(F.col("b").alias("leader"), F.col("a").alias("b")), "leader").where("a <> b").select("a", "b").distinct()
     more = compared(written(_agreeing(_apart(bridges, labels, nodes), nodes, least - 0.2, k), "darts-bridges")).where(F.col("similarity") >= least)

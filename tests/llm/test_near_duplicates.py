@@ -92,9 +92,10 @@ def test_classes_of_chains_and_hot_groups(spark):
         own[int(r.integers(0, 60))], own[int(r.integers(60, 120))] = f"a{i}", f"b{i}"
         docs.append((300 + i, " ".join(own)))
     docs.append((999, " ".join(center)))
-    report = {}
-    assert got(darts.classes(spark.createDataFrame(docs, "doc_id long, text string"), report=report)) == brute(docs)
-    assert report["rounds"]
+    for large in (32, 3):  # the second cuts most buckets finer
+        report = {}
+        assert got(darts.classes(spark.createDataFrame(docs, "doc_id long, text string"), large=large, report=report)) == brute(docs)
+        assert report["rounds"]
 
 
 def test_count_weights(spark):
