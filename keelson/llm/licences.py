@@ -8,6 +8,8 @@ a notice stands on a line of its own. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,15 +121,39 @@ KNOWN = [
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; empty if nothing is left."""
-    c = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, SIGNS, " ")), F.lit(" "))
+def plain(text: Column) -> Column:
+    """The canonical form but for spellings."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), SIGNS, " "))
+
+
+def spelled(plain_text: Column) -> Column:
+    c = F.concat(F.lit(" "), plain_text, F.lit(" "))
     for one, other in SPELLINGS:
         c = F.replace(c, F.lit(f" {one} "), F.lit(f" {other} "))
     return F.trim(c)
 
 
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; empty if nothing is left."""
+    return spelled(plain(text))
+
+
+def first_words(known: list[tuple[str, str]]) -> list[str]:
+    """Words that a text must begin with to be a known one, in any spelling."""
+    found = {w.split()[0] for _, t in known if (w := re.sub(r"[\W_]+", " ", re.sub(COPYRIGHT_LINE.replace(r"\p{L}\p{N}", r"\w"), "", t.lower())).strip())}
+    for _ in SPELLINGS:  # to a fixed point: one spelling can lead to another
+        more = {x.split()[0] for one, other in SPELLINGS for x in (one, other) if {one.split()[0], other.split()[0]} & found}
+        if more <= found:
+            break
+        found |= more
+    return sorted(found)
+
+
+def digest(plain_text: Column, firsts: list[str]) -> Column:
+    """The digest of the canonical form; null for a text that begins like no known one, whose spelling needs no work."""
+    return F.when(F.substring_index(plain_text, " ", 1).isin(firsts), F.md5(spelled(plain_text)))
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest and licence of each known text. Two licences with one canonical text: the first by name stands."""
     rows = spark.createDataFrame(KNOWN if known is None else known, "licence string, text string")
@@ -144,11 +170,11 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
     caller's, so small; their digests are broadcast. Only matching lines are grouped, with partial sums.
     """
     spark = docs.sparkSession
-    digests = F.broadcast(known_digests(spark, known))
+    digests, firsts = F.broadcast(known_digests(spark, known)), first_words(KNOWN if known is None else known)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    whole = rows.select("row", "doc_id", F.md5(canonical(F.col("text"))).alias("digest")).join(digests, "digest", "left").select("row", "doc_id", "licence")
+    whole = rows.select("row", "doc_id", plain(F.col("text")).alias("plain")).select("row", "doc_id", digest(F.col("plain"), firsts).alias("digest")).join(digests, "digest", "left").select("row", "doc_id", "licence")
     lines = rows.select("row", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    found = lines.select("row", F.md5(canonical(F.col("line"))).alias("digest")).join(digests, "digest")
+    found = lines.select("row", plain(F.col("line")).alias("plain")).select("row", digest(F.col("plain"), firsts).alias("digest")).join(digests, "digest")
     notices = found.groupBy("row", "licence").agg(F.count("*").alias("n")).groupBy("row").agg(F.array_join(F.array_sort(F.collect_list("licence")), ",").alias("notices"), F.sum("n").alias("n_notices"))
     return whole.join(notices, "row", "left").select("doc_id", "licence", "notices", F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
 
