@@ -169,11 +169,9 @@ def sign(docs: DataFrame, k: int, size: int, weights: str) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc_id long, node long, sig binary, text string")
 
 
-def bands(sig: Column, k: int, rows: int, after: Column | int = -1) -> Column:
-    """struct(band, hash of the band's rows) of each band with a number over `after`."""
-    last = k // rows - 1
-    some = F.when(F.lit(after) < last, F.sequence(F.lit(after).cast("int") + 1, F.lit(last))).otherwise(F.array().cast("array<int>"))
-    return F.transform(some, lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(sig, b * (4 * rows) + 1, F.lit(4 * rows))).alias("bucket")))
+def bands(sig: Column, k: int, rows: int) -> Column:
+    """struct(band, hash of the band's rows) of each band."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k // rows - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(sig, b * (4 * rows) + 1, F.lit(4 * rows))).alias("bucket")))
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float, k: int) -> DataFrame:
@@ -209,6 +207,86 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, weights: str) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _blocks(members: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
+    """band, node and its block, for every two chunks of a bucket (or a chunk with itself) one: bucket, low and high. A
+    chunk has about `chunk` nodes, so a block is bounded however large its bucket is. masks: bit b of a node is set
+    where its bucket of band b is among members."""
+    masks = members.groupBy("node").agg(F.sum(F.expr("shiftleft(1L, band)")).alias("mask"))
+    signed = nodes.join(masks, "node").select("node", "sig", "mask")
+    placed = members.select("node", "band", "bucket", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    spread = placed.select("node", "band", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    keyed = spread.select("node", "band", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
+    return keyed.join(signed, "node")
+
+
+def _near(block: pa.Table, k: int, rows: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places x < y of a block's pairs that agree at `least` of the coordinates, and their share, best first. Of a block of
+    two chunks only pairs across them count, and of several bands that tell of a pair only the first."""
+    sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint32).reshape(-1, k)
+    node, mask, own = (block.column(c).to_numpy() for c in ("node", "mask", "own"))
+    band = block.column("band")[0].as_py()
+    low, high = block.column("low")[0].as_py(), block.column("high")[0].as_py()
+    left, right = (np.flatnonzero(own == c) for c in (low, high))
+    out = []
+    for at in range(0, len(left), 64):
+        a = left[at : at + 64]
+        count = np.zeros((len(a), len(right)), np.int16)
+        for c in range(k):
+            count += sig[a, c, None] == sig[right, c]
+        i, j = np.nonzero(count >= least * k - 1e-9)
+        x, y, n = a[i], right[j], count[i, j]
+        if low == high:
+            x, y, n = (z[x < y] for z in (x, y, n))
+        earlier = (sig[x, : band * rows] == sig[y, : band * rows]).reshape(len(x), band, rows).all(2) if band else np.zeros((len(x), 0), bool)
+        told = (earlier & ((mask[x] & mask[y])[:, None] >> np.arange(band) & 1 == 1)).any(1)
+        out.append((x[~told], y[~told], n[~told]))
+    x, y, n = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(-n, kind="stable")
+    return x[order], y[order], n[order]
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, signed: DataFrame, k: int, rows: int, size: int, least: float, weights: str, chunk: int) -> DataFrame:
+    """Links (a, b) of all pairs of each bucket of members, as a forest that ties what the links tie: no more than one for
+    each node of a block. All pairs are compared by signature, and exactly where that agrees at least - 0.2; texts
+    are joined only for nodes that have such a pair."""
+    keys = ["bucket", "low", "high"]
+
+    def candidates(table: pa.Table) -> pa.Table:
+        x, y, _ = _near(table, k, rows, least - 0.2)
+        return table.take(pa.array(np.unique(np.concatenate([x, y]))))
+
+    def compare(table: pa.Table) -> pa.Table:
+        shingler = Shingler(size)
+        sets = [shingler.of(shingler.words(t)) for t in texts_of(table.column("text"))]
+        x, y, _ = _near(table, k, rows, least - 0.2)
+        lengths = np.array([len(e) for e, _ in sets], np.int64)
+        ids = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)[1]
+        counts = np.ones(len(ids), np.int64) if weights == "set" else np.concatenate([c for _, c in sets])
+        starts = np.cumsum(lengths) - lengths
+        total = np.add.reduceat(counts, starts)
+        held, root, out = np.zeros(int(ids.max()) + 1, np.int64), np.arange(len(sets)), []
+        node = table.column("node").to_numpy()
+        for i in np.unique(x):
+            mine = y[x == i]
+            own = slice(starts[i], starts[i] + lengths[i])
+            held[ids[own]] = counts[own]
+            which = np.repeat(starts[mine], lengths[mine]) + ranges(lengths[mine])
+            both = np.add.reduceat(np.minimum(held[ids[which]], counts[which]), np.cumsum(lengths[mine]) - lengths[mine])
+            held[ids[own]] = 0
+            for j in mine[both / (total[i] + total[mine] - both) >= least]:
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    out.append((node[i], node[j]))
+        a, b = (pa.array([p[c] for p in out], pa.int64()) for c in range(2))
+        return pa.table({"a": a, "b": b})
+
+    kinds = "node long, band int, bucket long, low int, high int, own int, sig binary, mask long"
+    some = written(_blocks(members, nodes, chunk).select("node", "band", "bucket", "low", "high", "own", "sig", "mask").groupBy(*keys).applyInArrow(candidates, kinds), "darts-block-nodes")
+    first = nodes.join(some.select("node").distinct(), "node", "left_semi").select("node", "row")
+    texts = written(signed.select("row", "text").join(first, "row").select("node", "text"), "darts-block-texts")
+    return written(some.join(texts, "node").groupBy(*keys).applyInArrow(compare, "a long, b long"), "darts-block-links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label (the least node of its connected component) for every node of links (a, b).
 
@@ -228,7 +306,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least: float = 0.8, weights: str = "set", large: int = 32, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
+def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least: float = 0.8, weights: str = "set", large: int = 32, chunk: int = 512, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """doc_id and class_id of every row: the least doc_id among all rows tied to it by links, a link being two
     texts whose shingles have a Jaccard similarity of `least` or more, or the same words.
 
@@ -237,9 +315,9 @@ def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least:
     2. In every band bucket all nodes are compared by signature with a leader, the least one. Nodes that agree with it
        at least + 0.04 of the coordinates leave, as they are tied to it almost surely; the others go on with new
        leaders, up to 4 in each later round, until no bucket has two nodes. What is left of a bucket after its first
-       round, if more than `large` nodes, is first cut finer, by each later band in turn: unlike texts (those that
-       share a passage, say) hardly ever share two bands, those of a link do with probability 0.999. A round makes no
-       more than 4 pairs for each bucket member, however large a bucket is.
+       round, if more than `large` nodes, is compared all with all in blocks of two chunks of about `chunk` nodes, by
+       signature and then exactly as in step 3; only a forest of each block's links leaves it. That work grows with
+       the square of what is left, its rows with the square over `chunk`.
     3. Every pair that agreed at least - 0.2 (a link falls below that by chance of five standard deviations) is compared
        exactly, by its shingles.
     4. A node b that was compared with a leader l before or after node a was tied to l can have a link with a only where
@@ -274,20 +352,21 @@ def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least:
         texts = written(signed.select("row", "text").join(first, "row").select("node", "text"), "darts-texts")
         return written(_verified(near.select("a", "b"), texts, size, weights), "darts-compared")
 
-    found, rounds = [], 0
+    found, rounds, blocks = [], 0, None
     members = led(members, 1)
     while members.limit(1).count():
         rounds += 1
         few = members if rounds == 1 else members.where(F.col("size") <= large)
+        if rounds == 2:  # no bucket grows later on
+            many = members.where(F.col("size") > large)
+            if many.limit(1).count():
+                blocks = _block_links(many, nodes, signed, k, rows, size, least, weights, chunk)
         faced = few.select("bucket", "node", "leaders", F.explode("leaders").alias("leader")).where("node <> leader AND NOT (array_contains(leaders, node) AND node < leader)")
         pairs = faced.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         found.append(written(_agreeing(pairs, nodes, least - 0.2, k), "darts-agreeing"))
         tied = found[-1].where(F.col("share") >= least + 0.04).select(F.col("a").alias("node"), F.col("b").alias("leader"))
         gone = faced.join(tied, ["node", "leader"]).select("bucket", "node").distinct()
         left = few.where("NOT array_contains(leaders, node)").join(gone, ["bucket", "node"], "left_anti").select("node", "band", "bucket")
-        if rounds > 1:  # buckets that are still large are cut finer
-            finer = members.where(F.col("size") > large).join(nodes.select("node", "sig"), "node").select("node", F.col("bucket").alias("own"), F.inline(bands(F.col("sig"), k, rows, F.col("band"))))
-            left = left.unionAll(finer.select("node", "band", F.xxhash64("own", "bucket").alias("bucket")))
         members = led(left, 4)
     report["rounds"] = rounds
     if not found:
@@ -298,7 +377,8 @@ def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least:
     near = written(near.groupBy("a", "b").agg(F.max("share").alias("share")), "darts-near")
     sure = F.col("share") >= least + 0.04
     all_ = compared(near.where(sure))
-    links = written(all_.where(F.col("similarity") >= least).select("a", "b"), "darts-links")
+    links = all_.where(F.col("similarity") >= least).select("a", "b")
+    links = written(links if blocks is None else links.unionAll(blocks), "darts-links")
     labels = components(links)
     rest = compared(written(_apart(near.where(~sure).select("a", "b"), labels, nodes), "darts-apart"))
     all_ = all_.unionAll(rest)

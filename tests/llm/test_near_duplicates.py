@@ -98,6 +98,22 @@ def test_classes_of_chains_and_hot_groups(spark):
         assert report["rounds"]
 
 
+def test_links_within_a_large_template_group(spark):
+    """Thousands of texts of one template, each with a passage of its own (so 0.78 alike), and for each a second text with
+    another end (0.82, a link). No other two are linked."""
+    own = lambda kind, i, n: " ".join(f"{kind}{i}x{j}" for j in range(n))
+    template = [f"t{j}" for j in range(400)]
+    docs = []
+    for i in range(1500):
+        head = f"{' '.join(template[:100])} {own('p', i, 44)} {' '.join(template[144:360])} "
+        docs += [(2 * i, head + " ".join(template[360:])), (2 * i + 1, head + own("e", i, 40))]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in docs[:4])]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(4) for j in range(i)}
+    assert 0.8 < alike[1, 0] < 0.84 and 0.7 < alike[2, 0] < 0.79 and max(alike[2, 1], alike[3, 0], alike[3, 1]) < 0.7
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert got(darts.classes(df)) == sorted(((i, i - i % 2) for i, _ in docs), key=str)
+
+
 def test_count_weights(spark):
     docs = [(1, "a b c d e f g h i j " * 3), (2, "a b c d e f g h i j " * 9)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
