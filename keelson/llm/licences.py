@@ -3,12 +3,14 @@
 A text is made canonical: lower case, copyright lines dropped, every run of other signs than letters and
 digits made one space, equivalent spellings made one. Its digest is then looked up by a hash join among the
 digests of known licence texts. Entire texts are looked up: the whole document, and each of its lines, since
-a notice stands on a line of its own. All of it is DataFrame expressions.
+a notice stands on a line of its own. Known texts of LONG words or more are also found as blocks of consecutive lines
+of a longer document (a wrapped text, a comment header). All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +123,20 @@ KNOWN = [
 ]
 
 
+def _entire(path: Path) -> list[tuple[str, str]]:
+    """A licence's entire text on one line, as wrapped in its file and with a line for each paragraph: they differ where a
+    wrapped line begins like a copyright line."""
+    raw = path.read_text("utf-8")
+    line = COPYRIGHT_LINE.replace(r"\p{L}\p{N}", r"\w").replace("(?m)", "(?mi)")
+    by_paragraph = "\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", raw))
+    return [(path.stem, " ".join(re.sub(line, "", t).split())) for t in (raw, by_paragraph)]
+
+
+KNOWN += [x for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")) for x in _entire(path)]
+
+LONG = 40  # words
+
+
 def plain(text: Column) -> Column:
     """The canonical form but for spellings."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), SIGNS, " "))
@@ -161,9 +177,44 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     return keyed.groupBy(F.md5("text").alias("digest")).agg(F.min("licence").alias("licence"))
 
 
+def anchor(words: list[str]) -> str:
+    """Five words of a canonical text that no spelling can change, to look for before spellings are worked out; the
+    empty text, which is in every document, if it has none."""
+    varied = {w for pair in SPELLINGS for x in pair for w in x.split()}
+    runs = (words[i : i + 5] for i in range(len(words) - 4))
+    return next((" ".join(r) for r in runs if not varied & set(r)), "")
+
+
+def within(rows: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
+    """row and licence where a known text of LONG words or more is a block of whole consecutive lines (rows: row, text,
+    plain). Lines are told apart by their number of words, so only where the text has the known one at all."""
+    texts = rows.sparkSession.createDataFrame(known, "licence string, text string").select("licence", canonical(F.col("text")).alias("text")).distinct().collect()
+    long = sorted((r["licence"], r["text"]) for r in texts if len(r["text"].split()) >= LONG)
+    maybe = F.lit(False)
+    for a in sorted({anchor(t.split()) for _, t in long}):
+        maybe = maybe | F.contains("plain", F.lit(a))
+
+    def n_words(c: Column) -> Column:
+        return F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
+
+    some = rows.where(maybe).select("row", spelled(F.col("plain")).alias("own"), F.split("text", "\n").alias("parts"))
+    sizes = F.transform("parts", lambda line: n_words(spelled(plain(line))))
+    bounds = F.aggregate(sizes, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    some = some.select("row", F.concat(F.lit(" "), "own", F.lit(" ")).alias("padded"), F.split("own", " ").alias("words"), F.array_distinct(bounds).alias("bounds"))
+
+    def stands(text: str) -> Column:
+        n = len(text.split())
+        here = F.exists("bounds", lambda b: F.array_contains("bounds", b + n) & (F.array_join(F.slice("words", b + 1, F.lit(n)), " ") == text))
+        return F.when(F.contains("padded", F.lit(f" {text} ")), here).otherwise(F.lit(False))
+
+    found = F.array(*(F.when(stands(t), F.lit(name)) for name, t in long)) if long else F.array().cast("array<string>")
+    return some.select("row", F.explode(F.array_distinct(F.array_compact(found))).alias("licence"))
+
+
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licence (of the whole text, else null), notices (licences of single lines, sorted, each once, joined by
-    commas; null if none) and n_notices (lines that are notices) of every row.
+    commas; null if none) and n_notices (lines that are notices) of every row. Where the whole text is no licence, one
+    that stands in it across lines, and on no line, counts as one notice.
 
     Null and empty texts, and lines without a letter or digit, match nothing. Null ids stay null, repeated rows
     come out each, other columns aren't read, an empty table gives no rows. The known texts are a list of the
@@ -172,11 +223,21 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
     spark = docs.sparkSession
     digests, firsts = F.broadcast(known_digests(spark, known)), first_words(KNOWN if known is None else known)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    whole = rows.select("row", "doc_id", plain(F.col("text")).alias("plain")).select("row", "doc_id", digest(F.col("plain"), firsts).alias("digest")).join(digests, "digest", "left").select("row", "doc_id", "licence")
+    plains = rows.select("row", "doc_id", "text", plain(F.col("text")).alias("plain"))
+    whole = plains.select("row", "doc_id", digest(F.col("plain"), firsts).alias("digest")).join(digests, "digest", "left").select("row", "doc_id", "licence")
+    blocks = within(plains, KNOWN if known is None else known)
     lines = rows.select("row", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
     found = lines.select("row", plain(F.col("line")).alias("plain")).select("row", digest(F.col("plain"), firsts).alias("digest")).join(digests, "digest")
-    notices = found.groupBy("row", "licence").agg(F.count("*").alias("n")).groupBy("row").agg(F.array_join(F.array_sort(F.collect_list("licence")), ",").alias("notices"), F.sum("n").alias("n_notices"))
-    return whole.join(notices, "row", "left").select("doc_id", "licence", "notices", F.coalesce("n_notices", F.lit(0)).alias("n_notices"))
+    named = found.select("row", "licence", F.lit(1).alias("n")).unionAll(blocks.select("row", "licence", F.lit(0)))
+    counted = named.groupBy("row", "licence").agg(F.sum("n").alias("n")).groupBy("row")
+    lists = counted.agg(F.collect_list(F.when(F.col("n") > 0, F.col("licence"))).alias("lines"), F.collect_list("licence").alias("all"), F.sum("n").alias("n"))
+    joined = whole.join(lists, "row", "left").withColumn("all", F.when(F.col("licence").isNull(), F.col("all")).otherwise(F.col("lines")))
+    return joined.select(
+        "doc_id",
+        "licence",
+        F.when(F.size("all") > 0, F.array_join(F.array_sort("all"), ",")).alias("notices"),
+        F.coalesce(F.col("n") + F.size("all") - F.size("lines"), F.lit(0).cast("long")).alias("n_notices"),
+    )
 
 
 def sql(known: list[tuple[str, str]] | None = None) -> str:

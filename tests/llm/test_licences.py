@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import textwrap
+from pathlib import Path
 
 import duckdb
 from cases import AWKWARD
@@ -52,3 +54,14 @@ def test_sql_gives_the_same(spark, sample):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     assert sorted(tuple(r) for r in licences.scan(sample).collect()) == sorted(con.execute(f"SELECT doc_id, licence, notices, n_notices FROM ({licences.sql()})").fetchall())
+
+
+def test_entire_texts_and_blocks_of_lines(spark):
+    mit = next(t for n, t in licences.KNOWN if n == "MIT")
+    wrapped = textwrap.wrap(mit.removeprefix("MIT License "), 60)
+    files = sorted((Path(licences.__file__).parent / "licence_texts").glob("*.txt"))
+    docs = [(i, f.read_text()) for i, f in enumerate(files)]
+    docs += [(100, "\n".join(["import x", "# Copyright 2020 A", *(f"# {w}" for w in wrapped), "", "x()"])), (101, "\n".join(wrapped[:-1])), (102, "a\n" + docs[0][1] + "\nb")]
+    found = {r["doc_id"]: tuple(r)[1:] for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [found[i][0] for i in range(len(files))] == [f.stem for f in files]
+    assert found[100] == (None, "MIT", 1) and found[101] == (None, None, 0) and found[102] == (None, "Apache-2.0", 1)
