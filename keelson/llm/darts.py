@@ -3,10 +3,10 @@
 An element of weight w owns the region [0, w) x [0, infinity) of weight and rank. Every unit cell of that
 region holds a number of darts that is Poisson with the cell's area; number, place and signature coordinate
 of the darts follow from a hash of element and cell alone, so two sets that share a region share its darts.
-A set throws about k ln k + 2k darts, those of rank under theta = that number over its total weight, and
-keeps the earliest dart of each coordinate; where a coordinate got none, theta doubles. Two sets agree at a
-coordinate with the probability of their weighted Jaccard similarity, at a cost of about n + k ln k hashes
-in place of n * k.
+A set throws about k ln k + 2k darts, those of rank under theta = that number over its total weight (theta
+rounded up to the end of a cell), and keeps the earliest dart of each coordinate; where a coordinate got none,
+theta doubles. Two sets agree at a coordinate with the probability of their weighted Jaccard similarity, at a
+cost of about n + k ln k hashes in place of n * k.
 """
 
 from __future__ import annotations
@@ -28,55 +28,69 @@ _LOW = 3  # ranks under 1 are cut at 1/8, 1/4 and 1/2, so that large sets look a
 _EDGES = np.array([0.0, *(2.0 ** (s - _LOW) for s in range(_LOW))])  # lower edges of the cells under rank 1
 _AREAS = np.array([2.0**-_LOW, *(2.0 ** (s - _LOW) for s in range(_LOW)), 1.0])
 _CDF = np.cumsum([[math.exp(-a) * a**n / math.factorial(n) for n in range(16)] for a in _AREAS], 1)
+_COUNTS = np.stack([np.searchsorted(c, (np.arange(1 << 16) + 0.5) / (1 << 16)) for c in _CDF]).astype(np.uint8).reshape(-1)  # darts, by kind of cell and 16 bits
 
-_G = 0x9E3779B97F4A7C15
+_G = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LAYER = np.uint64(0xD6E8FEB86659FD93)
+_NONE = np.uint64(2**64 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser of shifts and multiplications."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    """A 64-bit finaliser of shifts and multiplications, in place."""
+    t = x >> np.uint64(30)
+    x ^= t
+    x *= _M1
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
+    x *= _M2
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
+    return x
 
 
-def _unit(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
+# ---------------------------------------------------------------- shingles
 
 
-# ---------------------------------------------------------------- shingles
+class _Hashes(dict):
+    """64-bit hashes of words, worked out when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
 
 class Shingler:
-    """Lower-cased word shingles of `size` words as sorted distinct 64-bit hashes, and their counts.
+    """Lower-cased word shingles of `size` words as 64-bit hashes.
 
     Words are runs of letters, digits and underscores; a text without any takes its white-space words.
     Fewer words than size: one shingle of them all. No word: no shingle.
     """
 
     def __init__(self, size: int = 5):
-        self.size, self.cache = size, {}
-        self.factors = _mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(_G)) | np.uint64(1)
+        self.size, self.cache = size, _Hashes()
+        self.factors = _mix(np.arange(1, size + 1, dtype=np.uint64) * _G) | np.uint64(1)
 
     def words(self, text: str) -> list[str]:
         text = text.lower()
         return _TOKEN.findall(text) or text.split()
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def all(self, words: list[str]) -> np.ndarray:
+        """In the text's order, repeated ones included."""
         if len(self.cache) > 500_000:
             self.cache.clear()
-        cache = self.cache
-        for w in words:
-            if w not in cache:
-                cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
         if not len(h):
-            return h, np.zeros(0, np.int64)
+            return h
         n = max(1, len(h) - self.size + 1)
         out = np.zeros(n, np.uint64)
         for k in range(min(self.size, len(h))):
             out += h[k : n + k] * self.factors[k]
-        return np.unique(_mix(out), return_counts=True)
+        return _mix(out)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted and distinct, and their counts."""
+        return np.unique(self.all(words), return_counts=True)
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: str) -> float:
@@ -92,15 +106,16 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-    """A row of k dart ids for each (elements, weights); a set without weight gets zeros. Weights may be fractions."""
-    out = np.zeros((len(sets), k), np.uint32)
+    """A row of k 16-bit dart ids for each (elements, weights); a set without weight gets zeros. Weights may be fractions.
+    An element of weight 1 that is given twice throws the same darts twice, which changes nothing."""
+    out = np.zeros((len(sets), k), np.uint16)
     norms = np.array([float(w.sum()) for _, w in sets])
     todo = np.flatnonzero(norms > 0)
     theta = np.zeros(len(sets))
     theta[todo] = (k * math.log(max(k, 2)) + 2 * k) / norms[todo]
     while len(todo):
         cells = np.array([math.ceil(w) for w in norms[todo]]) * (_LOW + 1 + np.maximum(0, np.ceil(theta[todo]) - 1))
-        group = (np.cumsum(cells) - cells) // 500_000  # bounds what is held
+        group = (np.cumsum(cells) - cells) // 50_000  # bounds what is held, and keeps it in the processor's cache
         again = [_throw(sets, todo[group == g], theta, k, out) for g in np.unique(group)]
         todo = np.concatenate(again)
         theta[todo] *= 2
@@ -113,65 +128,76 @@ def _throw(sets: list, which: np.ndarray, theta: np.ndarray, k: int, out: np.nda
     weight = np.concatenate([sets[i][1] for i in which]).astype(np.float64)
     owner = np.repeat(np.arange(len(which)), [len(sets[i][0]) for i in which])
     # weight cells [0, 1), [1, 2), ...; the last one is owned in part where the weight is a fraction
-    layers = np.ceil(weight).astype(np.int64)
-    layer = ranges(layers)
-    element, weight, owner = (np.repeat(x, layers) for x in (element, weight, owner))
-    own = np.minimum(weight - layer, 1.0)
+    plain = bool((weight == 1).all())
+    if plain:
+        base, own = _mix(element.copy()), None
+    else:
+        layers = np.ceil(weight).astype(np.int64)
+        layer = ranges(layers)
+        base = _mix(np.repeat(element, layers) + layer.astype(np.uint64) * _LAYER)
+        own, owner = np.minimum(np.repeat(weight, layers) - layer, 1.0), np.repeat(owner, layers)
     limit = theta[which]
     slabs = np.where(limit > 1, _LOW + np.ceil(limit), np.searchsorted(_EDGES, limit, "left")).astype(np.int64)
     per = slabs[owner]
     slab = ranges(per)
-    cell = np.repeat(_mix(element + layer.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), per)
-    cell = _mix(cell + (slab.astype(np.uint64) + np.uint64(1)) * np.uint64(_G))
-    kind, u = np.minimum(slab, _LOW + 1), _unit(cell)
-    hit = np.flatnonzero(u > _CDF[kind, 0])
-    count = (u[hit, None] > _CDF[kind[hit]]).sum(1)
-    at = np.repeat(hit, count)
-    dart = _mix(cell[at] + (ranges(count).astype(np.uint64) + np.uint64(1)) * _M2)
-    s = slab[at]
-    low = np.where(s <= _LOW, _EDGES[np.minimum(s, _LOW)], s - _LOW)
-    rank = low + _unit(dart) * _AREAS[np.minimum(s, _LOW + 1)]
-    source = np.repeat(np.arange(len(per)), per)[at]
-    doc, more = owner[source], _mix(dart + np.uint64(1))
-    fine = (rank < limit[doc]) & (_unit(_mix(more)) < own[source])
-    doc, rank, more = doc[fine], rank[fine], more[fine]
-    key = doc * k + ((more >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((rank, key))
-    key = key[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    found = np.zeros((len(which), k), bool)
-    found.reshape(-1)[key[first]] = True
-    rows = np.zeros((len(which), k), np.uint32)
-    rows.reshape(-1)[key[first]] = more[order[first]].astype(np.uint32)
-    out[which] = rows
-    return which[~found.all(1)]
+    source = np.repeat(np.arange(len(per)), per)
+    cell = base[source]
+    cell += (slab.astype(np.uint64) + np.uint64(1)) * _G
+    _mix(cell)
+    kind = np.minimum(slab, _LOW + 1)
+    count = _COUNTS[(kind << 16) | (cell >> np.uint64(48)).astype(np.int64)]
+    at = np.repeat(np.arange(len(cell)), count)
+    dart = cell[at]
+    dart += (ranges(count.astype(np.int64)).astype(np.uint64) + np.uint64(1)) * _M2
+    _mix(dart)
+    # of a dart's 64 bits the upper half is its rank within the cell, the lower half its coordinate and id
+    low = np.where(slab <= _LOW, _EDGES[np.minimum(slab, _LOW)], slab - _LOW)
+    rank = low[at] + (dart >> np.uint64(32)).astype(np.float64) * (_AREAS[kind] * 2.0**-32)[at]
+    half = dart & np.uint64(0xFFFFFFFF)
+    key = owner[source][at] * k + ((half * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
+    value = (rank.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | half
+    if not plain:
+        fine = (_mix(dart + np.uint64(1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < own[source][at]
+        key, value = key[fine], value[fine]
+    first = np.full(len(which) * k, _NONE)
+    np.minimum.at(first, key, value)
+    first = first.reshape(len(which), k)
+    out[which] = first.astype(np.uint16)
+    return which[(first == _NONE).any(1)]
 
 
 # ---------------------------------------------------------------- joining
 
 
 def sign(docs: DataFrame, k: int, size: int, weights: str) -> DataFrame:
-    """row, doc_id, node (hash of the word sequence, so equal for copies), sig (k 32-bit ids; null without words), text."""
+    """row, doc_id, digest (128 bits of the word sequence, so equal for copies), sig (k 16-bit ids; null without words), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 words = [shingler.words(t) for t in texts_of(part.column("text"))]
-                sets = [shingler.of(w) for w in words]
-                sig = signatures([(e, np.ones(len(e)) if weights == "set" else c) for e, c in sets], k)
-                node = np.array([xxhash.xxh3_64_intdigest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words], np.uint64).view(np.int64)
+                if weights == "set":
+                    sets = [(e, np.ones(len(e))) for e in (np.unique(shingler.all(w)) for w in words)]
+                else:
+                    sets = [shingler.of(w) for w in words]
+                sig = signatures(sets, k)
+                digest = [xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array(node), pa.array([s.tobytes() if w else None for s, w in zip(sig, words, strict=True)], pa.binary()), part.column("text")],
-                    names=["row", "doc_id", "node", "sig", "text"],
+                    [part.column("row"), part.column("doc_id"), pa.array(digest, pa.binary()), pa.array([s.tobytes() if w else None for s, w in zip(sig, words, strict=True)], pa.binary()), part.column("text")],
+                    names=["row", "doc_id", "digest", "sig", "text"],
                 )
 
-    return docs.mapInArrow(run, "row long, doc_id long, node long, sig binary, text string")
+    return docs.mapInArrow(run, "row long, doc_id long, digest binary, sig binary, text string")
 
 
 def bands(sig: Column, k: int, rows: int) -> Column:
     """struct(band, hash of the band's rows) of each band."""
-    return F.transform(F.sequence(F.lit(0), F.lit(k // rows - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(sig, b * (4 * rows) + 1, F.lit(4 * rows))).alias("bucket")))
+    return F.transform(F.sequence(F.lit(0), F.lit(k // rows - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(sig, b * (2 * rows) + 1, F.lit(2 * rows))).alias("bucket")))
+
+
+def _ids(column: pa.Array | pa.ChunkedArray, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, k)
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float, k: int) -> DataFrame:
@@ -181,16 +207,15 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, least: float, k: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, k) for c in ("sig_a", "sig_b"))
-                share = (x == y).mean(1)
+                share = (_ids(batch.column("sig_a"), k) == _ids(batch.column("sig_b"), k)).mean(1)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= least))
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, share double")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, weights: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, size: int, weights: str) -> DataFrame:
     """The pairs with their exact similarity. b's shingles are held while it stays the same."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held = Shingler(size), (None, None)
@@ -207,84 +232,120 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, weights: str) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _blocks(members: DataFrame, nodes: DataFrame, chunk: int) -> DataFrame:
-    """band, node and its block, for every two chunks of a bucket (or a chunk with itself) one: bucket, low and high. A
-    chunk has about `chunk` nodes, so a block is bounded however large its bucket is. masks: bit b of a node is set
-    where its bucket of band b is among members."""
-    masks = members.groupBy("node").agg(F.sum(F.expr("shiftleft(1L, band)")).alias("mask"))
-    signed = nodes.join(masks, "node").select("node", "sig", "mask")
-    placed = members.select("node", "band", "bucket", F.ceil(F.col("size") / chunk).cast("int").alias("chunks")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    spread = placed.select("node", "band", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    keyed = spread.select("node", "band", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
-    return keyed.join(signed, "node")
-
-
-def _near(block: pa.Table, k: int, rows: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places x < y of a block's pairs that agree at `least` of the coordinates, and their share, best first. Of a block of
-    two chunks only pairs across them count, and of several bands that tell of a pair only the first."""
-    sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint32).reshape(-1, k)
-    node, mask, own = (block.column(c).to_numpy() for c in ("node", "mask", "own"))
-    band = block.column("band")[0].as_py()
-    low, high = block.column("low")[0].as_py(), block.column("high")[0].as_py()
-    left, right = (np.flatnonzero(own == c) for c in (low, high))
+# ---------------------------------------------------------------- blocks of buckets
+
+
+_BLOCK = ["bucket", "i", "j"]
+
+
+def _blocks(mixed: DataFrame, chunk: int) -> DataFrame:
+    """The rows of every block of mixed buckets. A bucket's nodes outside its main component are dealt into chunks of
+    about `chunk`, and so are all its nodes; block (i, j) has chunk i of the former (left) and chunk j of the latter
+    (right), so it is bounded however large its bucket is, and all blocks of a bucket hold each pair across
+    components. Rows grow with nodes times nodes outside the main component, over chunk."""
+    other = F.col("label") != F.col("main")
+    sized = mixed.withColumns({"rows": F.ceil(F.col("others") / chunk).cast("int"), "columns": F.ceil(F.col("size") / chunk).cast("int")})
+    placed = sized.withColumns({"own_i": F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"), "own_j": F.pmod(F.xxhash64("node"), F.col("columns")).cast("int")})
+    as_right = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j")))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j")))
+    at = placed.withColumn("at", F.explode(F.when(other, F.array_union(as_left, as_right)).otherwise(as_right)))
+    return at.select("bucket", "at.i", "at.j", "band", "node", "label", other.alias("other"), (other & (F.col("at.i") == F.col("own_i"))).alias("left"), (F.col("at.j") == F.col("own_j")).alias("right"))
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by block, in tables that have every block whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        last = [table.column(c)[-1].as_py() for c in _BLOCK]
+        same = np.ones(table.num_rows, bool)
+        for c, v in zip(_BLOCK, last, strict=True):
+            same &= table.column(c).to_numpy() == v
+        cut = int(np.argmax(same))
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(table: pa.Table, k: int, rows: int, least: float, at_once: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (x, y) in the table of pairs within a block that agree at `least` of the coordinates, and how many those are.
+    Pairs of one component don't count, and of several buckets that have a pair only that of the first band does."""
+    sig = _ids(table.column("sig"), k)
+    node, label, other, left, right, band = (table.column(c).to_numpy() for c in ("node", "label", "other", "left", "right", "band"))
+    keys = [table.column(c).to_numpy() for c in _BLOCK]
+    new = np.ones(len(node), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    block = np.cumsum(new) - 1
+    rights = np.flatnonzero(right)
+    per = np.bincount(block[rights], minlength=block[-1] + 1)
+    begin = np.cumsum(per) - per
+    lefts = np.flatnonzero(left)
+    part = (np.cumsum(per[block[lefts]]) - per[block[lefts]]) // at_once
     out = []
-    for at in range(0, len(left), 64):
-        a = left[at : at + 64]
-        count = np.zeros((len(a), len(right)), np.int16)
-        for c in range(k):
-            count += sig[a, c, None] == sig[right, c]
-        i, j = np.nonzero(count >= least * k - 1e-9)
-        x, y, n = a[i], right[j], count[i, j]
-        if low == high:
-            x, y, n = (z[x < y] for z in (x, y, n))
-        earlier = (sig[x, : band * rows] == sig[y, : band * rows]).reshape(len(x), band, rows).all(2) if band else np.zeros((len(x), 0), bool)
-        told = (earlier & ((mask[x] & mask[y])[:, None] >> np.arange(band) & 1 == 1)).any(1)
-        out.append((x[~told], y[~told], n[~told]))
-    x, y, n = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    order = np.argsort(-n, kind="stable")
-    return x[order], y[order], n[order]
-
-
-def _block_links(members: DataFrame, nodes: DataFrame, signed: DataFrame, k: int, rows: int, size: int, least: float, weights: str, chunk: int) -> DataFrame:
-    """Links (a, b) of all pairs of each bucket of members, as a forest that ties what the links tie: no more than one for
-    each node of a block. All pairs are compared by signature, and exactly where that agrees at least - 0.2; texts
-    are joined only for nodes that have such a pair."""
-    keys = ["bucket", "low", "high"]
-
-    def candidates(table: pa.Table) -> pa.Table:
-        x, y, _ = _near(table, k, rows, least - 0.2)
-        return table.take(pa.array(np.unique(np.concatenate([x, y]))))
-
-    def compare(table: pa.Table) -> pa.Table:
+    for mine in np.split(lefts, np.flatnonzero(np.diff(part)) + 1):
+        n = per[block[mine]]
+        x = np.repeat(mine, n)
+        y = rights[np.repeat(begin[block[mine]], n) + ranges(n)]
+        fine = (label[x] != label[y]) & (~other[y] | (node[x] < node[y]))
+        x, y = x[fine], y[fine]
+        same = sig[x] == sig[y]
+        count = same.sum(1)
+        fine = np.flatnonzero(count >= least * k)
+        told = (same[fine].reshape(len(fine), k // rows, rows).all(2) & (np.arange(k // rows) < band[x[fine], None])).any(1)
+        fine = fine[~told]
+        out.append((x[fine], y[fine], count[fine]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def _block_links(mixed: DataFrame, nodes: DataFrame, k: int, rows: int, size: int, least: float, near: float, weights: str, chunk: int) -> DataFrame:
+    """Links (a, b) between components, of all pairs of nodes in one bucket: of each block a forest that ties what its
+    links tie. All pairs are compared by signature, and exactly where that agrees at `near`; texts are joined only for
+    nodes that have such a pair."""
+    kinds = "bucket long, i int, j int, band int, node long, label long, other boolean, left boolean, right boolean, sig binary"
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_blocks(batches):
+            x, y, _ = _near(table, k, rows, near)
+            yield from table.take(pa.array(np.unique(np.concatenate([x, y])))).to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        sets = [shingler.of(shingler.words(t)) for t in texts_of(table.column("text"))]
-        x, y, _ = _near(table, k, rows, least - 0.2)
-        lengths = np.array([len(e) for e, _ in sets], np.int64)
-        ids = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)[1]
-        counts = np.ones(len(ids), np.int64) if weights == "set" else np.concatenate([c for _, c in sets])
-        starts = np.cumsum(lengths) - lengths
-        total = np.add.reduceat(counts, starts)
-        held, root, out = np.zeros(int(ids.max()) + 1, np.int64), np.arange(len(sets)), []
-        node = table.column("node").to_numpy()
-        for i in np.unique(x):
-            mine = y[x == i]
-            own = slice(starts[i], starts[i] + lengths[i])
-            held[ids[own]] = counts[own]
-            which = np.repeat(starts[mine], lengths[mine]) + ranges(lengths[mine])
-            both = np.add.reduceat(np.minimum(held[ids[which]], counts[which]), np.cumsum(lengths[mine]) - lengths[mine])
-            held[ids[own]] = 0
-            for j in mine[both / (total[i] + total[mine] - both) >= least]:
-                if root[i] != root[j]:
-                    root[root == root[j]] = root[i]
-                    out.append((node[i], node[j]))
-        a, b = (pa.array([p[c] for p in out], pa.int64()) for c in range(2))
-        return pa.table({"a": a, "b": b})
-
-    kinds = "node long, band int, bucket long, low int, high int, own int, sig binary, mask long"
-    some = written(_blocks(members, nodes, chunk).select("node", "band", "bucket", "low", "high", "own", "sig", "mask").groupBy(*keys).applyInArrow(candidates, kinds), "darts-block-nodes")
-    first = nodes.join(some.select("node").distinct(), "node", "left_semi").select("node", "row")
-    texts = written(signed.select("row", "text").join(first, "row").select("node", "text"), "darts-block-texts")
-    return written(some.join(texts, "node").groupBy(*keys).applyInArrow(compare, "a long, b long"), "darts-block-links")
+        for table in _whole_blocks(batches):
+            node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+            x, y, count = _near(table, k, rows, near)
+            order = np.argsort(-count, kind="stable")
+            sets: dict = {}
+            parent: dict = {}  # of components tied by what this table has
+
+            def root(c: int) -> int:
+                while c in parent:
+                    c = parent[c]
+                return c
+
+            def shingles(at: int) -> tuple:
+                if node[at] not in sets:
+                    sets[node[at]] = shingler.of(shingler.words(table.column("text")[int(at)].as_py() or ""))
+                return sets[node[at]]
+
+            out = []
+            for a, b in zip(x[order], y[order], strict=True):
+                p, q = root(label[a]), root(label[b])
+                if p != q and jaccard(shingles(a), shingles(b), weights) >= least:
+                    parent[p] = q
+                    out.append((int(node[a]), int(node[b])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in range(2)], names=["a", "b"])
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+
+    names = [x.split()[0] for x in kinds.split(", ")]
+    some = written(dealt(_blocks(mixed, chunk).join(nodes.select("node", "sig"), "node").select(*names)).mapInArrow(candidates, kinds), "darts-block-nodes")
+    return written(dealt(some.join(nodes.select("node", "text"), "node").select(*names, "text")).mapInArrow(compare, "a long, b long"), "darts-block-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -306,106 +367,68 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, k: int = 120, rows: int = 5, size: int = 5, least: float = 0.8, weights: str = "set", large: int = 32, chunk: int = 512, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
+def classes(docs: DataFrame, k: int = 252, rows: int = 7, size: int = 5, least: float = 0.8, weights: str = "set", chunk: int = 512, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """doc_id and class_id of every row: the least doc_id among all rows tied to it by links, a link being two
     texts whose shingles have a Jaccard similarity of `least` or more, or the same words.
 
     1. Copies (the same words) collapse to one node. Each node has a signature of k coordinates in k / rows
-       bands; a link of similarity 0.8 shares a band with probability 0.9999 (defaults).
-    2. In every band bucket all nodes are compared by signature with a leader, the least one. Nodes that agree with it
-       at least + 0.04 of the coordinates leave, as they are tied to it almost surely; the others go on with new
-       leaders, up to 4 in each later round, until no bucket has two nodes. What is left of a bucket after its first
-       round, if more than `large` nodes, is compared all with all in blocks of two chunks of about `chunk` nodes, by
-       signature and then exactly as in step 3; only a forest of each block's links leaves it. That work grows with
-       the square of what is left, its rows with the square over `chunk`.
-    3. Every pair that agreed at least - 0.2 (a link falls below that by chance of five standard deviations) is compared
-       exactly, by its shingles.
-    4. A node b that was compared with a leader l before or after node a was tied to l can have a link with a only where
-       the distance of b and l is at most twice that of a link (distances obey the triangle inequality). Those
-       pairs, unless by then in one component, are compared too.
+       bands; a link of similarity 0.8 shares a band with probability 0.9998, unlike texts of 0.4 with 0.06 (defaults).
+    2. Every node is compared by signature with the least node of each of its band buckets, and with the one that
+       agrees best exactly. These links tie what is much alike into components: a pair for each node at most.
+    3. In buckets that still have two components or more, all pairs across components are compared by signature, in
+       blocks of bounded size, and exactly where the signatures agree; only a forest of each block's links leaves it. So
+       every link whose ends share a bucket is found or joins what is tied already. That work grows with nodes times
+       nodes outside the bucket's main component.
+    Exact comparisons leave out pairs that agree at fewer coordinates than `least` by five standard deviations.
 
     Null or empty text: all such rows are copies of each other. A null doc_id takes part as any row; it is never
     the class_id unless all of the class are null. Repeated rows come out each. Other columns aren't read. Empty
     table: no rows. Every step is a table in the shared folder, so a lost executor repeats one step at most.
-    weights: "set", or "count" for the weighted similarity of shingle counts. report: gets the number of rounds and the
-    links of step 4.
+    weights: "set", or "count" for the weighted similarity of shingle counts. report: gets the links of step 2 ("leaders")
+    and step 3 ("blocks"), as frames.
     """
     if k % rows or weights not in ("set", "count"):
         raise ValueError("rows must divide k, and weights be set or count")
-    report = {} if report is None else report
+    near = least - 5 * math.sqrt(least * (1 - least) / k)
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(sign(keyed, k, size, weights), "darts-signed")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("sig").alias("sig")), "darts-nodes")
-    members = nodes.where("sig IS NOT NULL").select("node", F.inline(bands(F.col("sig"), k, rows)))
-
-    def led(members: DataFrame, slots: int) -> DataFrame:
-        """Members of buckets with two nodes or more, with the bucket's size and leaders: the least node of each of `slots`
-        parts of it. Buckets are summed up first and written, so that a hot bucket's members can be split by the
-        adaptive join."""
-        parts = members.groupBy("bucket", F.pmod(F.xxhash64("node", "bucket"), F.lit(slots)).alias("slot")).agg(F.min("node").alias("leader"), F.count("*").alias("n"))
-        leaders = written(parts.groupBy("bucket").agg(F.sum("n").alias("size"), F.collect_list("leader").alias("leaders")).where("size > 1"), "darts-leaders")
-        return written(members.join(leaders, "bucket"), "darts-members")
-
-    def compared(near: DataFrame) -> DataFrame:
-        ends = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
-        first = written(nodes.join(ends, "node", "left_semi").select("node", "row"), "darts-ends")
-        texts = written(signed.select("row", "text").join(first, "row").select("node", "text"), "darts-texts")
-        return written(_verified(near.select("a", "b"), texts, size, weights), "darts-compared")
-
-    found, rounds, blocks = [], 0, None
-    members = led(members, 1)
-    while members.limit(1).count():
-        rounds += 1
-        few = members if rounds == 1 else members.where(F.col("size") <= large)
-        if rounds == 2:  # no bucket grows later on
-            many = members.where(F.col("size") > large)
-            if many.limit(1).count():
-                blocks = _block_links(many, nodes, signed, k, rows, size, least, weights, chunk)
-        faced = few.select("bucket", "node", "leaders", F.explode("leaders").alias("leader")).where("node <> leader AND NOT (array_contains(leaders, node) AND node < leader)")
-        pairs = faced.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        found.append(written(_agreeing(pairs, nodes, least - 0.2, k), "darts-agreeing"))
-        tied = found[-1].where(F.col("share") >= least + 0.04).select(F.col("a").alias("node"), F.col("b").alias("leader"))
-        gone = faced.join(tied, ["node", "leader"]).select("bucket", "node").distinct()
-        left = few.where("NOT array_contains(leaders, node)").join(gone, ["bucket", "node"], "left_anti").select("node", "band", "bucket")
-        members = led(left, 4)
-    report["rounds"] = rounds
-    if not found:
-        return signed.join(nodes.select("node", F.col("doc_id").alias("class_id")), "node").select("doc_id", "class_id")
-    near = found[0]
-    for f in found[1:]:
-        near = near.unionAll(f)
-    near = written(near.groupBy("a", "b").agg(F.max("share").alias("share")), "darts-near")
-    sure = F.col("share") >= least + 0.04
-    all_ = compared(near.where(sure))
-    links = all_.where(F.col("similarity") >= least).select("a", "b")
-    links = written(links if blocks is None else links.unionAll(blocks), "darts-links")
+    copies = written(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")), "darts-copies")
+    firsts = written(signed.where("sig IS NOT NULL").select(F.col("row").alias("node"), "sig").join(copies.select("node"), "node", "left_semi"), "darts-firsts")
+    placed = firsts.select("node", F.inline(bands(F.col("sig"), k, rows)))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
+    members = written(placed.join(shared, "bucket").select("bucket", "band", "node", "size", "leader"), "darts-members")
+    inside = members.select("node").distinct()
+    nodes = written(signed.select(F.col("row").alias("node"), "sig", "text").join(inside, "node", "left_semi"), "darts-nodes")
+
+    pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    best = written(_agreeing(pairs, nodes, near, k).groupBy("a").agg(F.max(F.struct("share", "b")).alias("best")).select("a", "best.b"), "darts-leaders")
+    links = written(_verified(best, nodes, size, weights).where(F.col("similarity") >= least).select("a", "b"), "darts-links")
     labels = components(links)
-    rest = compared(written(_apart(near.where(~sure).select("a", "b"), labels, nodes), "darts-apart"))
-    all_ = all_.unionAll(rest)
-    if rest.where(F.col("similarity") >= least).limit(1).count():
-        links = written(links.unionAll(rest.where(F.col("similarity") >= least).select("a", "b")), "darts-links")
-        labels = components(links)
-    apart = _apart(all_.where((F.col("similarity") < least) & (F.col("similarity") >= 2 * least - 1)).select("a", "b"), labels, nodes)
-    bridges = apart.select("a", F.col("b").alias("leader")).join(links.select(F.col("b").alias("leader"), F.col("a").alias("b")), "leader").where("a <> b").select("a", "b").distinct()
-    more = compared(written(_agreeing(_apart(bridges, labels, nodes), nodes, least - 0.2, k), "darts-bridges")).where(F.col("similarity") >= least)
-    report["bridges"] = more
-    if more.limit(1).count():
-        links = written(links.unionAll(more.select("a", "b")), "darts-links")
-        labels = components(links)
-    lowest = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    named = lowest.select("node", "label").join(lowest.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label")
-    named = written(named.select("node", "class_id"), "darts-classes")
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id")
-
-
-def _apart(pairs: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends aren't in one component."""
-    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+    labelled = members.select("bucket", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    buckets = buckets.select("bucket", "size", F.col("most.label").alias("main"), (F.col("size") - F.col("most.n")).alias("others"))
+    mixed = written(labelled.join(buckets, "bucket"), "darts-mixed")
+    across = _block_links(mixed, nodes, k, rows, size, least, near, weights, chunk)
+    if report is not None:
+        report.update(leaders=links, blocks=across)
+    if across.limit(1).count():
+        labels = components(links.unionAll(across))
+
+    tied = labels.join(copies.select("node", "doc_id"), "node")
+    lowest = tied.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = tied.join(lowest, "label").select("node", "class_id", F.lit(True).alias("tied"))
+    of_copies = written(copies.join(named, "node", "left").select("digest", F.when(F.col("tied"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), "darts-classes")
+    return signed.select("doc_id", "digest").join(of_copies, "digest").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The first row, all columns, of every class of near-duplicates."""
+    """The first row, all columns, of every class of near-duplicates: the one that comes first in docs' own order of rows.
+
+    Rows without a word (null or empty text) are copies of each other, so one of them stays. Repeated rows: one stays.
+    Ids play no part, so null ones are as good as any. Empty table: no rows.
+    """
     row = "row"
     while row in docs.columns:
         row += "_"
