@@ -367,7 +367,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, k: int = 252, rows: int = 7, size: int = 5, least: float = 0.8, weights: str = "set", chunk: int = 512, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
+def classes(docs: DataFrame, k: int = 252, rows: int = 7, size: int = 5, least: float = 0.8, weights: str = "set", chunk: int = 512, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, report: dict | None = None) -> DataFrame:
     """doc_id and class_id of every row: the least doc_id among all rows tied to it by links, a link being two
     texts whose shingles have a Jaccard similarity of `least` or more, or the same words.
 
@@ -384,21 +384,27 @@ def classes(docs: DataFrame, k: int = 252, rows: int = 7, size: int = 5, least:
     Null or empty text: all such rows are copies of each other. A null doc_id takes part as any row; it is never
     the class_id unless all of the class are null. Repeated rows come out each. Other columns aren't read. Empty
     table: no rows. Every step is a table in the shared folder, so a lost executor repeats one step at most.
-    weights: "set", or "count" for the weighted similarity of shingle counts. report: gets the links of step 2 ("leaders")
+    row_col: a column that numbers the rows of docs, if docs is a written table; its texts are then read again in place
+    of being kept. weights: "set", or "count" for the weighted similarity of shingle counts. report: gets the links of step 2 ("leaders")
     and step 3 ("blocks"), as frames.
     """
     if k % rows or weights not in ("set", "count"):
         raise ValueError("rows must divide k, and weights be set or count")
     near = least - 5 * math.sqrt(least * (1 - least) / k)
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(sign(keyed, k, size, weights), "darts-signed")
+    keyed = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed = sign(keyed, k, size, weights)
+    signed = written(signed.drop("text") if row_col else signed, "darts-signed")
     copies = written(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")), "darts-copies")
     firsts = written(signed.where("sig IS NOT NULL").select(F.col("row").alias("node"), "sig").join(copies.select("node"), "node", "left_semi"), "darts-firsts")
     placed = firsts.select("node", F.inline(bands(F.col("sig"), k, rows)))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
     members = written(placed.join(shared, "bucket").select("bucket", "band", "node", "size", "leader"), "darts-members")
     inside = members.select("node").distinct()
-    nodes = written(signed.select(F.col("row").alias("node"), "sig", "text").join(inside, "node", "left_semi"), "darts-nodes")
+    if row_col:
+        texts = keyed.select(F.col("row").alias("node"), "text").join(inside, "node", "left_semi")
+        nodes = written(firsts.join(texts, "node"), "darts-nodes")
+    else:
+        nodes = written(signed.select(F.col("row").alias("node"), "sig", "text").join(inside, "node", "left_semi"), "darts-nodes")
 
     pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     best = written(_agreeing(pairs, nodes, near, k).groupBy("a").agg(F.max(F.struct("share", "b")).alias("best")).select("a", "best.b"), "darts-leaders")
@@ -433,6 +439,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     while row in docs.columns:
         row += "_"
     staged = written(docs.withColumn(row, F.monotonically_increasing_id()), "darts-docs")
-    found = classes(staged, id_col=row, **options)
+    found = classes(staged, id_col=row, row_col=row, **options)
     gone = written(found.where("doc_id <> class_id").select(F.col("doc_id").alias(row)), "darts-gone")
     return staged.join(gone, row, "left_anti").select(*docs.columns)
