@@ -97,7 +97,7 @@ def test_platt_recovers_a_sigmoid():
 
 def small_model(own=60):
     counts = np.random.default_rng(0).integers(0, 50, 200)
-    model = attention.AttentionModel(attention.Units.of(counts, 5, own=own, members=8), window=6, overlap=2, dim=4, hidden=6)
+    model = attention.AttentionModel(attention.Units.of(counts, 5, own=own, members=8), window=6, overlap=2, dim=4, keys=3, hidden=6)
     model.start()
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
     return model
@@ -115,6 +115,51 @@ def test_windows_score_each_place_once():
         assert at[0] == own or at[0] - row[0] >= model.overlap
 
 
+def texts_of_ids(r, most=40):
+    return [r.integers(0, 200, n).astype(np.uint32) for n in (0, 1, 3, 5, 6, 7, 20, most)]
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("scale", [1, 8, 40])
+def test_infer_equals_log_prob(scale, kind):
+    """Weights that take exponents far beyond the range of floats too."""
+    model, r = small_model(), np.random.default_rng(2)
+    model.w = {k: (v if k == "mem_b" else v * scale).astype(kind) for k, v in model.w.items()}
+    read, target, _, lengths = model.places(texts_of_ids(r))
+    windows = model.windows(lengths)
+    for some, low in ((windows[windows[:, 2] == 0], 0), (windows[windows[:, 2] > 0], model.overlap)):
+        slot, scored = model.slots(some)
+        want = model.log_prob(read[slot], target[slot], scored)
+        got = model._infer(read[slot], target[slot], scored, low, at_once=3)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-3 if kind is np.float32 else 1e-9, atol=1e-3 * scale if kind is np.float32 else 1e-9)
+    assert scale < 40 or -want.min() > 1000
+
+
+def test_score_against_brute_force():
+    """Every place by itself, over its own window, one product after the other."""
+    model, r = small_model(), np.random.default_rng(3)
+    w, m, u = model.w, model.units.members, model.units
+    ids = texts_of_ids(r)
+
+    def log_softmax(z):
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    for text, got in zip(ids, model.score(ids, batch=4), strict=True):
+        all_ids = [*text.tolist(), len(u.unit) - 1]
+        units, total = [int(u.unit[i]) for i in all_ids], 0.0
+        read = [u.count, *units[:-1]]
+        for place, i in enumerate(all_ids):
+            start = 0 if place < model.window else (place - model.overlap) // (model.window - model.overlap) * (model.window - model.overlap)
+            e = np.array([w["emb"][x] + w["pos"][n] for n, x in enumerate(read[start : place + 1])])
+            q, k, v = np.split(e @ w["qkv"], (model.keys, 2 * model.keys), axis=1)
+            a = np.exp(log_softmax(k @ q[-1] / model.keys**0.5))
+            h = e[-1] + a @ v @ w["out"]
+            g = h + np.maximum(h @ w["up"] + w["up_b"], 0) @ w["down"]
+            c, member = divmod(units[place], m)
+            total += log_softmax(g @ w["cls"] + w["cls_b"])[c] + log_softmax(g @ w["mem"][c] + w["mem_b"][c])[member] + u.log_share[i]
+        assert abs(total / np.log(10) - got) < 1e-6
+
+
 def test_gradient():
     model, r = small_model(), np.random.default_rng(1)
     ids = [r.integers(0, 200, n).astype(np.uint32) for n in (0, 1, 5, 6, 7, 20)]
