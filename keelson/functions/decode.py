@@ -40,28 +40,20 @@ def integer_of(text: Column) -> Column:
     return F.when(n == F.floor(n), n.try_cast("long"))
 
 
-def decimal_text(c: Column) -> Column:
-    """A number in plain decimal digits without trailing zeros, at most 18 of them after the point. Numbers of 10^20 or
-    more have no such text here (null); the shortest text of a double is meant, never its binary expansion."""
-    text = c.try_cast("decimal(38,18)").cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-
-
-def integer_digits(c: Column) -> Column:
-    """Digits before the point; the 0 of 0.5 counts."""
-    return F.length(F.regexp_replace(F.split_part(decimal_text(c), F.lit("."), F.lit(1)), "-", ""))
-
-
-def fraction_digits(c: Column) -> Column:
-    return F.length(F.split_part(decimal_text(c), F.lit("."), F.lit(2)))
+def exceeds_scale(c: Column, scale: int) -> Column:
+    """Whether a number has more digits after the point than that. Of a float its shortest text counts, so it is equal to
+    itself rounded to `scale` digits unless it has more; no text is made."""
+    return F.round(c, scale) != c
 
 
 def exceeds_precision(c: Column, precision: int) -> Column:
-    return integer_digits(c) + fraction_digits(c) > precision
-
-
-def exceeds_scale(c: Column, scale: int) -> Column:
-    return fraction_digits(c) > scale
+    """Whether a number has more digits than that, before (the 0 of 0.5 counts) and after the point together, however large
+    or small it is. Infinite numbers and NaN exceed any precision."""
+    size = F.abs(c)
+    body = F.when(size.isNull(), F.lit(None).cast("boolean"))
+    for k in range(1, precision + 1):
+        body = body.when(size < F.lit(10.0**k if k > 18 else 10**k), exceeds_scale(c, precision - k))
+    return body.otherwise(F.lit(True))
 
 
 def _offset(text: Column) -> Column:
@@ -120,9 +112,8 @@ def decode_cell(cell: Column, column: ColumnSpec, enum_values: list[str] | None
             body = F.when((kind == "number") & (number == F.floor(number)), out(number.cast("long"), tag)).when(kind == "number", out(F.floor(number), tag, f"Invalid integer value for column '{column.name}'")).otherwise(bad)
         else:
             if args and args[0].isdigit():
-                precision, scale = int(args[0]), int(args[1]) if len(args) > 1 else None
-                if scale is not None:
-                    warning = F.when(exceeds_scale(number, scale), f"Column '{column.name}' exceeds scale {scale}")
+                precision, scale = int(args[0]), int(args[1]) if len(args) > 1 else 0
+                warning = F.when(exceeds_scale(number, scale), f"Column '{column.name}' exceeds scale {scale}")
                 warning = F.when(exceeds_precision(number, precision), f"Column '{column.name}' exceeds precision {precision}").otherwise(warning)
             body = F.when(kind == "number", out(text, tag, warning)).otherwise(bad)
     elif tag == "bool":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,3 +136,12 @@ def tag_column(c: Column) -> Column:
         .when(name.isin(dates), "datetime")
         .otherwise(c)
     )
+
+
+def quoted(name: str) -> str:
+    """A column's name for Spark, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column_of(df: DataFrame, name: str) -> Column:
+    return df[quoted(name)]

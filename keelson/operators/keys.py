@@ -7,35 +7,56 @@ its hot partitions can be split.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import spark_type
+from ..functions.types import column_of
 from ..model import Column as ColumnSpec
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
-def default_value(column: ColumnSpec) -> Column | None:
-    """What stands for a null in a key: the default's value; of an expression or `null`, its text. In strict mode
-    any default fills nulls, so all nulls of such a column are one key."""
-    if column.default is None:
-        return None
-    if column.default.kind in ("expression",) or column.default.value.lower() == "null":
-        return F.lit(column.default.value)
-    return F.lit(column.default.value).try_cast(spark_type(column.type)) if column.default.kind != "string" else F.lit(column.default.value)
+
+def default_value(column: ColumnSpec) -> str | None:
+    """The text of the default that stands for a null in a key; of an expression or `null` too, since in strict mode any
+    default fills nulls, so all nulls of such a column are one key."""
+    return None if column.default is None else column.default.value
+
+
+def _fits(text: str, kind: T.DataType) -> bool:
+    """Whether a default surely is a value of this type."""
+    if isinstance(kind, T.StringType):
+        return True
+    if isinstance(kind, _WHOLE):
+        return re.fullmatch(rf"[+-]?\d{{1,{2 if isinstance(kind, T.ByteType) else 4 if isinstance(kind, T.ShortType) else 9}}}", text) is not None
+    return isinstance(kind, (T.FloatType, T.DoubleType)) and re.fullmatch(r"[+-]?\d{1,9}(\.\d+)?", text) is not None
 
 
-def filled(df: DataFrame, keys: list[str], defaults: dict[str, Column] | None) -> list[Column]:
-    """The key columns with nulls filled; a default of another type is compared as text."""
+def _tagged(df: DataFrame, keys: list[str], defaults: dict[str, str] | None) -> list[bool]:
+    return [k in (defaults or {}) and not _fits(defaults[k], df.schema[k].dataType) for k in keys]
+
+
+def filled(df: DataFrame, keys: list[str], defaults: dict[str, str] | None, tagged: list[bool] | None = None, kinds: list[str] | None = None) -> list[Column]:
+    """The key columns with nulls filled by defaults. A default that isn't a value of the column's type (an expression,
+    `null`, a text) is a key of its own: where tagged, a key is a struct of value and default's text, one of them null.
+    kinds: types to cast values to. A key is null only where nothing fills it."""
     out = []
-    for k in keys:
-        default = (defaults or {}).get(k)
-        c = df[k]
+    for i, (k, tag) in enumerate(zip(keys, tagged or _tagged(df, keys, defaults), strict=True)):
+        default, c, kind = (defaults or {}).get(k), column_of(df, k), df.schema[k].dataType
+        value = c
         if default is not None:
-            c = F.when(c.isNull(), default.try_cast(df.schema[k].dataType)).otherwise(c) if not isinstance(df.schema[k].dataType, T.StringType) else F.coalesce(c, default.cast("string"))
-        out.append(c)
+            own = F.lit(default).try_cast(kind)
+            if isinstance(kind, (*_WHOLE, T.DecimalType)):  # 1.5 is no whole number, nor 0.125 a decimal(9,2)
+                own = F.when(own.cast("double") == F.lit(default).try_cast("double"), own)
+            value = F.coalesce(c, own)
+        value = value.cast(kinds[i]) if kinds and kinds[i] else value
+        if tag:
+            text = F.when(value.isNull(), F.lit(default)) if default is not None else F.lit(None).cast("string")
+            value = F.when(value.isNotNull() | text.isNotNull(), F.struct(value.alias("value"), text.alias("default")))
+        out.append(value)
     return out
 
 
@@ -43,45 +64,82 @@ def any_null(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, [c.isNull() for c in columns])
 
 
-def null_key_rows(df: DataFrame, keys: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
+def free_names(names: list[str], *frames: DataFrame) -> list[str]:
+    """The names, each with as many underscores more as it takes to be no column's."""
+    taken, out = {c.lower() for f in frames for c in f.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def null_key_rows(df: DataFrame, keys: list[str], defaults: dict[str, str] | None = None) -> DataFrame:
     """Rows in which a key column without default is null."""
-    free = [df[k] for k in keys if k not in (defaults or {})]
+    free = [column_of(df, k) for k in keys if k not in (defaults or {})]
     return df.where(any_null(free)) if free else df.limit(0)
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
-    """Each key that occurs more than once, and n. Keys with a null aren't equal to any."""
-    named = df.select(*(c.alias(k) for c, k in zip(filled(df, keys, defaults), keys, strict=True)))
-    return named.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+def _counted(df: DataFrame, keys: list[str], defaults: dict[str, str] | None) -> tuple[DataFrame, list[str]]:
+    """k0, k1, ... and n of every whole key."""
+    names = [f"k{i}" for i in range(len(keys))]
+    keyed = df.select(*(c.alias(n) for c, n in zip(filled(df, keys, defaults), names, strict=True)))
+    return keyed.dropna(subset=names).groupBy(*names).agg(F.count("*").alias("n")), names
+
+
+def duplicate_keys(df: DataFrame, keys: list[str], defaults: dict[str, str] | None = None) -> DataFrame:
+    """Each key that occurs more than once, and n. Keys with a null aren't equal to any. The key of an unfit default is null."""
+    counted, names = _counted(df, keys, defaults)
+    values = [F.col(n)["value"] if tag else F.col(n) for n, tag in zip(names, _tagged(df, keys, defaults), strict=True)]
+    return counted.where("n > 1").select(*(v.alias(k) for v, k in zip(values, keys, strict=True)), "n")
+
 
+def duplicate_count(df: DataFrame, keys: list[str], defaults: dict[str, str] | None = None) -> DataFrame:
+    """violations: how many rows have a key that occurs more than once. One shuffle, of partial counts."""
+    return _counted(df, keys, defaults)[0].agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0).cast("long")).alias("violations"))
 
-def duplicate_rows(df: DataFrame, keys: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
+
+def duplicate_rows(df: DataFrame, keys: list[str], defaults: dict[str, str] | None = None) -> DataFrame:
     """All rows, whole, whose key occurs more than once."""
-    names = [f"__key{i}" for i in range(len(keys))]
+    names = free_names([f"__key{i}" for i in range(len(keys))], df)
     keyed = df.withColumns(dict(zip(names, filled(df, keys, defaults), strict=True)))
-    repeated = keyed.select(*names).dropna().groupBy(*names).agg(F.count("*").alias("__n")).where("__n > 1").select(*names)
-    return keyed.join(repeated, names, "left_semi").select(*df.columns)
+    counted, short = _counted(df, keys, defaults)
+    repeated = counted.where("n > 1").select(*(F.col(k).alias(n) for k, n in zip(short, names, strict=True)))
+    return keyed.join(repeated, names, "left_semi").drop(*names)
 
 
 def same_kind(a: T.DataType, b: T.DataType) -> bool:
-    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    return a == b or isinstance(a, whole) and isinstance(b, whole) or isinstance(a, T.NumericType) and isinstance(b, T.NumericType)
+    return a == b or isinstance(a, _WHOLE) and isinstance(b, _WHOLE) or isinstance(a, T.NumericType) and isinstance(b, T.NumericType)
+
+
+def _common(a: T.DataType, b: T.DataType) -> str | None:
+    """The type in which values of unlike types are compared."""
+    if a == b:
+        return None
+    if isinstance(a, _WHOLE) and isinstance(b, _WHOLE):
+        return "long"
+    return "double" if isinstance(a, (T.FloatType, T.DoubleType)) or isinstance(b, (T.FloatType, T.DoubleType)) else "decimal(38,9)"
 
 
-def orphan_rows(source: DataFrame, keys: list[str], target: DataFrame, target_keys: list[str], defaults: dict[str, Column] | None = None, unique_target: bool = False) -> DataFrame:
-    """Rows of source whose key isn't in target. A row with a null in its key is exempt, unless a default fills it.
+def orphan_rows(source: DataFrame, keys: list[str], target: DataFrame, target_keys: list[str], defaults: dict[str, str] | None = None, unique_target: bool = False, target_defaults: dict[str, str] | None = None) -> DataFrame:
+    """Rows of source whose key isn't in target. A row with a null in its key is exempt, unless a default fills it; nulls
+    of target's keys are filled by target_defaults.
 
     Keys must be of one kind: a number never equals a text. unique_target: its keys are known to be distinct, so
     they aren't made so again.
     """
-    for k, t in zip(keys, target_keys, strict=True):
-        if not same_kind(source.schema[k].dataType, target.schema[t].dataType):
-            raise TypeError(f"{k} ({source.schema[k].dataType.simpleString()}) can't refer to {t} ({target.schema[t].dataType.simpleString()})")
-    names = [f"__key{i}" for i in range(len(keys))]
-    keyed = source.withColumns(dict(zip(names, filled(source, keys, defaults), strict=True))).where(~any_null([F.col(n) for n in names]))
-    known = target.select(*(target[t].alias(n) for t, n in zip(target_keys, names, strict=True))).dropna()
+    pairs = [(source.schema[k].dataType, target.schema[t].dataType) for k, t in zip(keys, target_keys, strict=True)]
+    for k, t, (a, b) in zip(keys, target_keys, pairs, strict=True):
+        if not same_kind(a, b):
+            raise TypeError(f"{k} ({a.simpleString()}) can't refer to {t} ({b.simpleString()})")
+    tagged = [x or y for x, y in zip(_tagged(source, keys, defaults), _tagged(target, target_keys, target_defaults), strict=True)]
+    kinds = [_common(a, b) if tag else None for (a, b), tag in zip(pairs, tagged, strict=True)]
+    names = free_names([f"__key{i}" for i in range(len(keys))], source)
+    keyed = source.withColumns(dict(zip(names, filled(source, keys, defaults, tagged, kinds), strict=True))).where(~any_null([F.col(n) for n in names]))
+    known = target.select(*(c.alias(n) for c, n in zip(filled(target, target_keys, target_defaults, tagged, kinds), names, strict=True))).dropna(subset=names)
     known = known if unique_target else known.distinct()
-    return keyed.join(known, names, "left_anti").select(*source.columns)
+    return keyed.join(known, names, "left_anti").drop(*names)
 
 
 def junction(df: DataFrame, keys: list[str]) -> DataFrame:

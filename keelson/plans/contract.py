@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import decode
-from ..functions.types import is_serial, spark_type
+from ..functions.types import column_of, is_serial, quoted, spark_type
 from ..model import Cell, Database, Endpoint, Index, Records, Ref, Table
 from ..operators import keys, rows
 from ..sources.language import compile_text
@@ -76,7 +76,7 @@ class Contract:
         found += [Key("unique", i.columns) for i in table.indexes if i.unique and not i.pk and i.columns]
         return list({tuple(k.columns): k for k in reversed(found)}.values())[::-1]
 
-    def defaults(self, table: Table, names: list[str]) -> dict[str, Column]:
+    def defaults(self, table: Table, names: list[str]) -> dict[str, str]:
         out = {}
         for n in names:
             spec = table.column(n)
@@ -90,12 +90,12 @@ class Contract:
         return spec.increment or is_serial(spec.type)
 
     def _row(self, found: DataFrame, rule: str, table: Table, names: list[str], message: Column) -> DataFrame:
-        values = F.to_json(F.struct(*(found[n] for n in names)), {"ignoreNullFields": "false"}) if set(names) <= set(found.columns) else F.lit(None).cast("string")
+        values = F.to_json(F.struct(*(column_of(found, n).alias(n) for n in names)), {"ignoreNullFields": "false"}) if set(names) <= set(found.columns) else F.lit(None).cast("string")
         schema, name = table.key
         return found.select(F.lit(rule).alias("rule"), F.lit(schema).alias("schema_name"), F.lit(name).alias("table_name"), F.array(*map(F.lit, names)).alias("columns"), values.alias("key_json"), message.alias("message"))
 
-    def key_parts(self, table: Table) -> list[tuple[str, list[str], DataFrame, str]]:
-        """(rule, columns, bad rows, message) of every pk and unique key.
+    def key_parts(self, table: Table) -> list[tuple[str, list[str], DataFrame, str, DataFrame | None]]:
+        """(rule, columns, bad rows, message, a frame with their number if that is cheaper) of every pk and unique key.
 
         A pk with an incrementing column has neither nulls nor duplicates to report. A pk column that the frame lacks,
         with nothing to fill it, makes every row bad, and its other pk rules mute.
@@ -107,15 +107,15 @@ class Contract:
             defaults, label = self.defaults(table, names), names_of(table, names)
             what = "Composite " if len(names) > 1 else ""
             if key.kind == "pk" and any(n not in defaults and not self._fills(table, n) for n in lacking):
-                out.append(("pk_missing_column", names, df, f"PK: column {', '.join(lacking)} of {table.label} is missing and has no default"))
+                out.append(("pk_missing_column", names, df, f"PK: column {', '.join(lacking)} of {table.label} is missing and has no default", None))
                 continue
             full = df.withColumns({n: F.lit(None).cast(spark_type(table.column(n).type)) for n in lacking}) if lacking else df
             if key.kind == "pk":
                 fill = dict.fromkeys((n for n in names if self._fills(table, n)), None)
-                out.append(("pk_null", names, keys.null_key_rows(full, [n for n in names if n not in fill], defaults), f"NULL in {what}PK: {label} cannot be NULL"))
+                out.append(("pk_null", names, keys.null_key_rows(full, [n for n in names if n not in fill], defaults), f"NULL in {what}PK: {label} cannot be NULL", None))
                 if fill:
                     continue
-            out.append((f"{key.kind}_duplicate", names, keys.duplicate_rows(full, names, defaults), f"Duplicate {what}{key.kind.upper()}: {label}"))
+            out.append((f"{key.kind}_duplicate", names, keys.duplicate_rows(full, names, defaults), f"Duplicate {what}{key.kind.upper()}: {label}", keys.duplicate_count(full, names, defaults)))
         return out
 
     def null_keys(self, table: Table) -> list[tuple[str, str, Column]]:
@@ -124,7 +124,7 @@ class Contract:
         for key in self.table_keys(table):
             free = [n for n in key.columns if n not in self.defaults(table, key.columns) and not self._fills(table, n)]
             if key.kind == "pk" and free and set(key.columns) <= set(df.columns):
-                out.append(("pk_null", ",".join(key.columns), keys.any_null([df[n] for n in free])))
+                out.append(("pk_null", ",".join(key.columns), keys.any_null([column_of(df, n) for n in free])))
         return out
 
     def edge_parts(self) -> list[tuple[Edge, Table, DataFrame]]:
@@ -141,8 +141,8 @@ class Contract:
                     continue
                 if parent is None:
                     parent = source.sparkSession.createDataFrame([], T.StructType([T.StructField(n, spark_type(target.column(n).type)) for n in edge.target.columns]))
-                defaults = self.defaults(table, edge.source.columns)
-                out.append((edge, table, keys.orphan_rows(source, edge.source.columns, parent, edge.target.columns, defaults)))
+                defaults, of_target = self.defaults(table, edge.source.columns), self.defaults(target, edge.target.columns)
+                out.append((edge, table, keys.orphan_rows(source, edge.source.columns, parent, edge.target.columns, defaults, target_defaults=of_target)))
         return out
 
     # ---- results
@@ -156,10 +156,12 @@ class Contract:
                 continue
             schema, name = table.key
             key = [n for n in table.primary_key() if n in df.columns]
-            bad = rows.bad_rows(df, table, self.db)
-            values = F.to_json(F.struct(*key), {"ignoreNullFields": "false"}) if key else F.lit(None).cast("string")
-            parts.append(bad.select("rule", F.lit(schema).alias("schema_name"), F.lit(name).alias("table_name"), F.array("rule_column").alias("columns"), values.alias("key_json"), "message"))
-            for rule, names, found, message in self.key_parts(table):
+            found, held = rows.rules(df, table, self.db), keys.free_names(["broken"], df)[0]
+            values = F.to_json(F.struct(*(F.col(quoted(n)).alias(n) for n in key)), {"ignoreNullFields": "false"}) if key else F.lit(None).cast("string")
+            if found:
+                bad = rows.broken(df, found, held)
+                parts.append(bad.select(F.col(held)["rule"].alias("rule"), F.lit(schema).alias("schema_name"), F.lit(name).alias("table_name"), F.array(F.col(held)["rule_column"]).alias("columns"), values.alias("key_json"), F.col(held)["message"].alias("message")))
+            for rule, names, found, message, _ in self.key_parts(table):
                 parts.append(self._row(found, rule, table, names, key_message(found, message, names, rule)))
         for edge, table, found in self.edge_parts():
             parts.append(self._row(found, "fk", table, edge.source.columns, fk_message(found, edge)))
@@ -178,13 +180,14 @@ class Contract:
             nulls = self.null_keys(table)
             parts.append(rows.rule_counts(df, table, self.db, nulls).select("rule", F.lit(name).alias("table_name"), F.col("rule_column").alias("column_names"), F.col("n").alias("violations")))
             counted = {(rule, names) for rule, names, _ in nulls}
-            parts += [_count(found, rule, name, names) for rule, names, found, _ in self.key_parts(table) if (rule, ",".join(names)) not in counted]
+            parts += [_count(found, rule, name, names, number) for rule, names, found, _, number in self.key_parts(table) if (rule, ",".join(names)) not in counted]
         parts += [_count(found, "fk", ".".join(table.key), edge.source.columns) for edge, table, found in self.edge_parts()]
         return reduce(DataFrame.unionByName, parts).groupBy("rule", "table_name", "column_names").agg(F.sum("violations").alias("violations"))
 
 
-def _count(found: DataFrame, rule: str, table: str, names: list[str]) -> DataFrame:
-    return found.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), F.lit(",".join(names)).alias("column_names"), "violations")
+def _count(found: DataFrame, rule: str, table: str, names: list[str], number: DataFrame | None = None) -> DataFrame:
+    number = found.agg(F.count("*").alias("violations")) if number is None else number
+    return number.select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), F.lit(",".join(names)).alias("column_names"), "violations")
 
 
 def names_of(table: Table | Endpoint, names: list[str]) -> str:
@@ -198,7 +201,7 @@ def values_of(df: DataFrame, names: list[str]) -> Column:
     """v, or (v, w); texts in double quotes, null as null."""
     parts = []
     for n in names:
-        c = df[n]
+        c = column_of(df, n)
         text = F.concat(F.lit('"'), c, F.lit('"')) if isinstance(df.schema[n].dataType, T.StringType) else c.cast("string")
         parts.append(F.coalesce(text, F.lit("null")))
     joined = F.concat_ws(", ", *parts)

@@ -159,14 +159,18 @@ def contract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract(spark, sf_dir).summary()
 
 
-@query(
-    "SELECT rule, 'orders' AS table_name, count(*) AS n FROM (SELECT 'enum' AS rule FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')"
-    f" UNION ALL SELECT 'precision' FROM orders WHERE {_PRECISION.format('o_totalprice')} > 7) GROUP BY rule"
-)
+@query(f"SELECT rule, table_name, CAST(sum(violations) AS BIGINT) AS n FROM ({_summary_sql()}) GROUP BY ALL HAVING sum(violations) > 0")
 def violation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of one table, as rows, counted by rule."""
-    c = Contract.compile(TABLES, {"orders": table(spark, sf_dir, "orders")})
-    return c.violations().where("table_name = 'orders' AND rule <> 'fk'").groupBy("rule", "table_name").agg(F.count("*").alias("n"))
+    """Violations of all tables, references included, as rows, counted by rule and table."""
+    found = contract(spark, sf_dir).violations()
+    return found.groupBy("rule", F.concat_ws(".", "schema_name", "table_name").alias("table_name")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT rule, key_json, message FROM (SELECT 'precision' AS rule, '{{\"o_orderkey\":' || o_orderkey || '}}' AS key_json, $$Column 'o_totalprice' exceeds precision 7$$ AS message FROM orders WHERE {_PRECISION.format('o_totalprice')} > 7" " UNION ALL SELECT 'enum', '{\"o_orderkey\":' || o_orderkey || '}', $$Invalid enum value for column 'o_orderpriority'$$ FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))")
+def violation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and message of every bad row of one table."""
+    found = contract(spark, sf_dir).violations().where("table_name = 'orders' AND rule IN ('precision', 'enum')")
+    return found.select("rule", "key_json", "message")
 
 
 # ---------------------------------------------------------------- keys
@@ -194,7 +198,22 @@ def pk_default_fill_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A default of a key column fills its nulls, so two nulls are one key."""
     df = table(spark, sf_dir, "customer").select("c_custkey", F.expr("nullif(c_custkey % 1000, 0)").alias("k"))
     c = bound(spark, "Table t {\n c_custkey bigint\n k bigint [pk, default: 1]\n}", {"t": df})
-    return next(found for rule, _, found, _ in c.key_parts(c.db.tables[0]) if rule == "pk_duplicate")
+    return next(found for rule, _, found, *_ in c.key_parts(c.db.tables[0]) if rule == "pk_duplicate")
+
+
+@query("SELECT c_custkey, k FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM (SELECT c_custkey, nullif(c_custkey % 100, 0) AS k FROM customer)) WHERE n > 1")
+def pk_null_default_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A default that is no value of the type still makes all nulls one key."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.expr("nullif(c_custkey % 100, 0)").alias("k"))
+    c = bound(spark, "Table t {\n c_custkey bigint\n k bigint [pk, default: null]\n}", {"t": df})
+    return next(found for rule, _, found, *_ in c.key_parts(c.db.tables[0]) if rule == "pk_duplicate")
+
+
+@query("SELECT event_id, k FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM (SELECT event_id, nullif(event_id % 300, 0) AS k FROM events)) WHERE n > 1")
+def unique_expression_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", F.expr("nullif(event_id % 300, 0)").alias("k"))
+    c = bound(spark, "Table t {\n event_id bigint\n k bigint [unique, default: `next_id()`]\n}", {"t": df})
+    return c.key_parts(c.db.tables[0])[0][2]
 
 
 @query("SELECT event_id, k FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM (SELECT event_id, nullif(event_id % 9000, 0) AS k FROM events) WHERE k IS NOT NULL) WHERE n > 1")
@@ -207,14 +226,14 @@ def unique_null_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT r_regionkey, 'PK: column region_id of region is missing and has no default' AS message FROM region")
 def pk_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound(spark, "Table region {\n region_id int [pk]\n r_regionkey int\n}", {"region": table(spark, sf_dir, "region")})
-    _, _, found, message = c.key_parts(c.db.tables[0])[0]
+    _, _, found, message, _ = c.key_parts(c.db.tables[0])[0]
     return found.select("r_regionkey", F.lit(message).alias("message"))
 
 
 @query("SELECT l_orderkey, l_linenumber, 'Duplicate Composite PK: (lineitem.l_orderkey, lineitem.l_linenumber) = (' || l_orderkey || ', ' || l_linenumber || ')' AS message " f"FROM ({_DUPS}) WHERE n > 1")
 def duplicate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bound(spark, "Table lineitem {\n l_orderkey bigint\n l_linenumber int\n indexes {\n (l_orderkey, l_linenumber) [pk]\n }\n}", {"lineitem": table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")})
-    rule, names, found, message = c.key_parts(c.db.tables[0])[1]
+    rule, names, found, message, _ = c.key_parts(c.db.tables[0])[1]
     return found.select("l_orderkey", "l_linenumber", key_message(found, message, names, rule).alias("message"))
 
 
@@ -276,6 +295,20 @@ def fk_match_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, "Table e {\n k bigint [ref: > nation.n_nationkey]\n}\nTable nation {\n n_nationkey int [pk]\n}", {"e": df, "nation": table(spark, sf_dir, "nation")}).edge_parts()[0][2]
 
 
+@query("SELECT event_id, k FROM (SELECT event_id, nullif(user_id % 40, 0) AS k FROM events) e WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = k)")
+def fk_null_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null that a default stands for is no missing key: it refers to the default, which no parent has here."""
+    df = table(spark, sf_dir, "events").select("event_id", F.expr("nullif(user_id % 40, 0)").alias("k"))
+    return bound(spark, "Table e {\n k bigint [default: null, ref: > nation.n_nationkey]\n}\nTable nation {\n n_nationkey int [pk]\n}", {"e": df, "nation": table(spark, sf_dir, "nation")}).edge_parts()[0][2]
+
+
+@query("SELECT event_id, k FROM (SELECT event_id, user_id % 40 AS k FROM events) e WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = k)")
+def fk_target_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The null key of nation 7 counts as its default, 7."""
+    df, nation = table(spark, sf_dir, "events").select("event_id", F.expr("user_id % 40").alias("k")), table(spark, sf_dir, "nation").select(F.expr("nullif(n_nationkey, 7)").alias("n_nationkey"))
+    return bound(spark, "Table e {\n k bigint [ref: > nation.n_nationkey]\n}\nTable nation {\n n_nationkey int [unique, default: 7]\n}", {"e": df, "nation": nation}).edge_parts()[0][2]
+
+
 @query("SELECT conv_id, turn FROM conversations a WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1)")
 def fk_self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose next turn is missing: a ref of the table to itself."""
@@ -316,7 +349,7 @@ def _broken(spark: SparkSession, sf_dir: str, name: str, source: str, rule: str,
     from .operators import rows
 
     db = compile_text(source).result()
-    return rows.bad_rows(table(spark, sf_dir, name).select(*columns), db.table(name), db).where(F.col("rule") == rule).select(*columns)
+    return rows.bad_rows(table(spark, sf_dir, name).select(*columns), db.table(name), db, {rule}).select(*columns)
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
@@ -353,6 +386,23 @@ def decimal_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _broken(spark, sf_dir, "lineitem", source, "scale", ["l_orderkey", "l_linenumber", "l_discount"])
 
 
+@query("SELECT o_orderkey, 1e18 * floor(CAST(o_totalprice AS DOUBLE)) AS x FROM orders WHERE o_totalprice >= 100000")
+def decimal_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of 10^23 and more have more than 23 digits."""
+    from .operators import rows
+
+    db = compile_text("Table orders {\n o_orderkey bigint\n x decimal(23, 2)\n}").result()
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.lit(1e18) * F.floor("o_totalprice").cast("double")).alias("x"))
+    return rows.bad_rows(df, db.tables[0], db, {"precision"}).select("o_orderkey", "x")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount <> floor(l_discount)")
+def decimal_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decimal(5) has no digit after the point."""
+    source = "Table lineitem {\n l_orderkey bigint\n l_linenumber int\n l_discount decimal(5)\n}"
+    return _broken(spark, sf_dir, "lineitem", source, "scale", ["l_orderkey", "l_linenumber", "l_discount"])
+
+
 @query("SELECT l_orderkey, l_linenumber, l_discount, l_quantity FROM lineitem WHERE NOT (l_discount <= 0.08 AND l_quantity < 45)")
 def check_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _broken(spark, sf_dir, "lineitem", TABLES, "check", ["l_orderkey", "l_linenumber", "l_discount", "l_quantity"])
@@ -597,9 +647,10 @@ def symmetric_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.symmetric_pairs(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 
 
-@query("SELECT n_nationkey FROM nation INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0")
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey < 3 INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 0")
 def dataset_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey").intersect(table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select("c_nationkey"))
+    """Nations of three regions that have a customer in credit."""
+    return table(spark, sf_dir, "nation").where("n_regionkey < 3").select("n_nationkey").intersect(table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_nationkey"))
 
 
 @query("SELECT p_partkey, p_brand FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size > 45 AND b.p_brand = a.p_brand AND b.p_type = a.p_type)")
@@ -609,9 +660,9 @@ def anti_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.without_constraints(df.select("p_partkey", F.col("p_type").alias("table_name"), F.col("p_brand").alias("index_name")), large).select("p_partkey", F.col("index_name").alias("p_brand"))
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INT) AS place, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents WHERE n_chars < 200))")
+@query("SELECT doc_id, CAST(i - 1 AS INT) AS place, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents))")
 def unnest_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("n_chars < 200").select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "word"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("place", "word"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) > 50")

@@ -1,5 +1,7 @@
 """Contracts over inline records and frames: keys, references, cells; each case with its expected outcome."""
 
+import datetime
+import decimal
 import random
 from collections import Counter
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions import decode
-from keelson.operators import keys
+from keelson.operators import keys, rows
 from keelson.plans.catalog import catalog, view_tables
 from keelson.plans.contract import Contract, record_contract, record_warnings, wrong_width
 from keelson.model import View
@@ -139,10 +141,71 @@ def test_check_and_not_null_on_a_frame(spark):
     assert {r["rule"]: r["violations"] for r in c.summary().collect()} == {"not_null": 1, "check": 1, "pk_null": 0, "pk_duplicate": 0}
 
 
+def plain_digits(x):
+    """Digits before and after the point of a number's shortest text, without exponent."""
+    whole, _, part = format(decimal.Decimal(repr(abs(x))), "f").partition(".")
+    part = part.rstrip("0")
+    return len(whole.lstrip("0")) or 1, len(part)
+
+
 def test_digits(spark):
-    values = [(0.5, 2), (0.07, 3), (-12.5, 3), (100.0, 3), (0.0, 1), (1234567.89, 9)]
-    df = spark.createDataFrame(values, "x double, n int")
-    assert all(r["d"] == r["n"] for r in df.select("n", (decode.integer_digits(F.col("x")) + decode.fraction_digits(F.col("x"))).alias("d")).collect())
+    r = random.Random(0)
+    values = [0.5, 0.07, -12.5, 100.0, 0.0, 1234567.89, 2e20, 1e25, 1.5e-7, 1e-20, 9.999, 123456789012345680.0, 0.1 + 0.2, 1e15 / 3, -1e22]
+    values += [r.choice([-1, 1]) * round(r.random() * 10 ** r.randint(0, 12), r.randint(0, 9)) for _ in range(200)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    for p in (1, 3, 5, 9, 17, 21, 26, 40):
+        over = {x["i"] for x in df.where(decode.exceeds_precision(F.col("x"), p)).collect()}
+        assert over == {i for i, x in enumerate(values) if sum(plain_digits(x)) > p}
+    for scale in (0, 1, 2, 8, 19):
+        assert {x["i"] for x in df.where(decode.exceeds_scale(F.col("x"), scale)).collect()} == {i for i, x in enumerate(values) if plain_digits(x)[1] > scale}
+    exact = spark.createDataFrame([(decimal.Decimal("12.30"),), (decimal.Decimal("12.34"),), (None,)], "x decimal(10,2)")
+    assert [x[0] for x in exact.select(decode.exceeds_precision(F.col("x"), 3)).collect()] == [False, True, None]
+
+
+def test_large_and_whole_decimals(spark):
+    source = "Table p {\n id int\n a decimal(5,2)\n b decimal(5)\n records (id, a, b) {\n 1, 2e20, 1\n 2, 1e25, 1.5\n 3, 99.5, 100\n }\n}"
+    assert warnings(spark, source) == [("a", "Column 'a' exceeds precision 5"), ("a", "Column 'a' exceeds precision 5"), ("b", "Column 'b' exceeds scale 0")]
+
+
+DEFAULTS = ["null", "5", "1.5", "'5'", "'x'", "true", "`now()`"]
+TYPES = {"int": 5, "bigint": 5, "smallint": 5, "double": 5.0, "decimal(9,2)": decimal.Decimal("5.00"), "string": "5", "boolean": True, "date": datetime.date(2020, 1, 2)}
+
+
+@pytest.mark.parametrize("default", DEFAULTS)
+def test_any_default_fills_any_type(spark, default):
+    """A default never makes a null key vanish, whatever it is and whatever the column's type."""
+    text = default.strip("'`")
+    for kind, value in TYPES.items():
+        equal = {"int": text == "5", "bigint": text == "5", "smallint": text == "5", "double": text == "5", "decimal(9,2)": text == "5", "string": text == "5", "boolean": text == "true", "date": False}[kind]
+        df = spark.createDataFrame([(1, None), (2, None), (3, value)], f"i int, k {kind}")
+        c = Contract.compile(f"Table t {{\n i int\n k {'varchar' if kind == 'string' else kind} [pk, default: {default}]\n}}", {"t": df})
+        repeated = next(found for rule, _, found, *_ in c.key_parts(c.db.tables[0]) if rule == "pk_duplicate")
+        assert {x["i"] for x in repeated.collect()} == ({1, 2, 3} if equal else {1, 2}), (kind, default)
+        assert {x["rule"]: x["violations"] for x in c.summary().where("rule = 'pk_duplicate'").collect()} == {"pk_duplicate": 3 if equal else 2}
+        parents = df.where("i = 3").select("k")
+        fill = {"k": text}
+        assert {x["i"] for x in keys.orphan_rows(df, ["k"], parents, ["k"], fill).collect()} == (set() if equal else {1, 2}), (kind, default)
+        assert not keys.orphan_rows(df, ["k"], df.select("k"), ["k"], fill, target_defaults=fill).count()
+
+
+def test_composite_keys_with_unfit_defaults(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, None, "b"), (4, 1, None), (5, 1, "a")], "i int, k int, m string")
+    assert {x["i"] for x in keys.duplicate_rows(df, ["k", "m"], {"k": "now()"}).collect()} == {1, 2}
+    target = spark.createDataFrame([(1, "a")], "k long, m string")
+    assert {x["i"] for x in keys.orphan_rows(df, ["k", "m"], target, ["k", "m"], {"k": "now()"}).collect()} == {1, 2, 3}
+    assert keys.duplicate_keys(df, ["k", "m"], {"k": "now()"}).collect() == [(None, "a", 2)]
+
+
+def test_clashing_and_dotted_names(spark):
+    df = spark.createDataFrame([(1, -1, "x", "y", "z", 0), (1, 2, "x", "y", "z", 0)], "`a.b` int, rule int, message string, broken string, __key0 string, n int")
+    source = 'Table t {\n "a.b" int [pk]\n rule int [check: `rule > 0`]\n message int\n}'
+    c = Contract.compile(source, {"t": df})
+    found = {(x["rule"], x["key_json"]) for x in c.violations().collect()}
+    assert found == {("check", '{"a.b":1}'), ("type", '{"a.b":1}'), ("pk_duplicate", '{"a.b":1}')}
+    assert {x["rule"]: x["violations"] for x in c.summary().collect()} == {"check": 1, "type": 2, "integer": 0, "pk_null": 0, "pk_duplicate": 2}
+    bad = rows.bad_rows(df, c.db.tables[0], c.db)
+    assert bad.columns == [*df.columns, "rule_", "rule_column", "message_"] and bad.count() == 3
+    assert keys.duplicate_rows(df, ["a.b"]).columns == df.columns and keys.orphan_rows(df, ["a.b"], df, ["rule"]).count() == 2
 
 
 def test_random_keys_against_brute_force(spark):
