@@ -33,12 +33,15 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def shared_uri(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, a local one if driver and executors
+    are one process (tests), else an error: executors would not see each other's files."""
     uri = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not uri:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         uri = held.get() if held.isDefined() else None
     if not uri:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         uri = tempfile.mkdtemp(prefix="keelson-")
         spark.sparkContext.setCheckpointDir(uri)
     return uri.rstrip("/")

@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Lines that canonical texts lack, and spellings that count as equal (the public matching
 # guidelines for licence texts).
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -185,9 +187,9 @@ def anchor(words: list[str]) -> str:
     return next((" ".join(r) for r in runs if not varied & set(r)), "")
 
 
-def within(rows: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
-    """row and licence where a known text of LONG words or more is a block of whole consecutive lines (rows: row, text,
-    plain). Lines are told apart by their number of words, so only where the text has the known one at all."""
+def with_blocks(rows: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
+    """rows (text, plain, ...) with `blocks`, the licences whose known text of LONG words or more is a block of whole
+    consecutive lines. Lines are told apart by their number of words, so only where the text has the known one at all."""
     texts = rows.sparkSession.createDataFrame(known, "licence string, text string").select("licence", canonical(F.col("text")).alias("text")).distinct().collect()
     long = sorted((r["licence"], r["text"]) for r in texts if len(r["text"].split()) >= LONG)
     maybe = F.lit(False)
@@ -197,10 +199,11 @@ def within(rows: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
     def n_words(c: Column) -> Column:
         return F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
 
-    some = rows.where(maybe).select("row", spelled(F.col("plain")).alias("own"), F.split("text", "\n").alias("parts"))
+    some = rows.withColumns({"own": F.when(maybe, spelled(F.col("plain"))), "parts": F.when(maybe, F.split("text", "\n"))})
     sizes = F.transform("parts", lambda line: n_words(spelled(plain(line))))
-    bounds = F.aggregate(sizes, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
-    some = some.select("row", F.concat(F.lit(" "), "own", F.lit(" ")).alias("padded"), F.split("own", " ").alias("words"), F.array_distinct(bounds).alias("bounds"))
+    some = some.withColumn("sizes", sizes)
+    bounds = F.aggregate("sizes", F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    some = some.withColumns({"padded": F.concat(F.lit(" "), "own", F.lit(" ")), "words": F.split("own", " "), "bounds": F.array_distinct(bounds)})
 
     def stands(text: str) -> Column:
         n = len(text.split())
@@ -208,7 +211,7 @@ def within(rows: DataFrame, known: list[tuple[str, str]]) -> DataFrame:
         return F.when(F.contains("padded", F.lit(f" {text} ")), here).otherwise(F.lit(False))
 
     found = F.array(*(F.when(stands(t), F.lit(name)) for name, t in long)) if long else F.array().cast("array<string>")
-    return some.select("row", F.explode(F.array_distinct(F.array_compact(found))).alias("licence"))
+    return some.select(*rows.columns, F.when(F.col("own").isNotNull(), F.array_distinct(F.array_compact(found))).alias("blocks"))
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,17 +221,19 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
 
     Null and empty texts, and lines without a letter or digit, match nothing. Null ids stay null, repeated rows
     come out each, other columns aren't read, an empty table gives no rows. The known texts are a list of the
-    caller's, so small; their digests are broadcast. Only matching lines are grouped, with partial sums.
+    caller's, so small; their digests are broadcast. Digests of a row's text and lines are written once; only matching
+    lines are grouped, with partial sums.
     """
-    spark = docs.sparkSession
-    digests, firsts = F.broadcast(known_digests(spark, known)), first_words(KNOWN if known is None else known)
+    spark, known = docs.sparkSession, KNOWN if known is None else known
+    digests, firsts = F.broadcast(known_digests(spark, known)), first_words(known)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    plains = rows.select("row", "doc_id", "text", plain(F.col("text")).alias("plain"))
-    whole = plains.select("row", "doc_id", digest(F.col("plain"), firsts).alias("digest")).join(digests, "digest", "left").select("row", "doc_id", "licence")
-    blocks = within(plains, KNOWN if known is None else known)
-    lines = rows.select("row", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    found = lines.select("row", plain(F.col("line")).alias("plain")).select("row", digest(F.col("plain"), firsts).alias("digest")).join(digests, "digest")
-    named = found.select("row", "licence", F.lit(1).alias("n")).unionAll(blocks.select("row", "licence", F.lit(0)))
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[\p{L}\p{N}]"))
+    rows = with_blocks(rows.withColumn("plain", plain(F.col("text"))), known)
+    # one pass, written: all that follows has the same numbers of rows, and reads no text
+    scanned = written(rows.select("row", "doc_id", digest(F.col("plain"), firsts).alias("digest"), F.array_compact(F.transform(lines, lambda line: digest(plain(line), firsts))).alias("lines"), "blocks"), "licence-digests")
+    whole = scanned.select("row", "doc_id", "digest").join(digests, "digest", "left").select("row", "doc_id", "licence")
+    found = scanned.select("row", F.explode("lines").alias("digest")).join(digests, "digest")
+    named = found.select("row", "licence", F.lit(1).alias("n")).unionAll(scanned.select("row", F.explode("blocks").alias("licence")).select("row", "licence", F.lit(0)))
     counted = named.groupBy("row", "licence").agg(F.sum("n").alias("n")).groupBy("row")
     lists = counted.agg(F.collect_list(F.when(F.col("n") > 0, F.col("licence"))).alias("lines"), F.collect_list("licence").alias("all"), F.sum("n").alias("n"))
     joined = whole.join(lists, "row", "left").withColumn("all", F.when(F.col("licence").isNull(), F.col("all")).otherwise(F.col("lines")))

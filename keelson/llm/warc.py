@@ -12,6 +12,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 import zstandard
@@ -32,30 +33,32 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. The payload's full size, the page_id and the response's page_id are in extension
+def make_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool, own_id: str, first_url: str | None = None, first_id: str | None = None) -> bytes:
+    """One WARC/1.1 record. own_id: its record id. A revisit refers to its response's record id, url and date in the
+    standard's fields. The payload's full size, the page_id and the response's page_id are in extension
     fields (X-...), so that a reader needs no other table; a line break in a url becomes %0A or %0D."""
-    url = url.replace("\r", "%0D").replace("\n", "%0A")
+    clean = lambda u: u.replace("\r", "%0D").replace("\n", "%0A")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, url)}",
+        f"WARC-Record-ID: {own_id}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {clean(url)}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"X-Payload-Length: {len(payload)}",
     ]
     head += [f"X-Page-ID: {page_id}"] if page_id is not None else []
-    head += [f"WARC-Profile: {PROFILE}"] if revisit else []
+    head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {first_id}", f"WARC-Refers-To-Target-URI: {clean(first_url or '')}", f"WARC-Refers-To-Date: {DATE}"] if revisit else []
     head += [f"X-Refers-To-Page-ID: {refers_to}"] if revisit and refers_to is not None else []
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
+def record_id(*name: object) -> str:
+    """The same for the same name: a task that is run again gives its records the ids they had."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, name)))}>"
 
 
 def parse_record(record: bytes) -> tuple:
@@ -123,7 +126,8 @@ def read_shard(file, step: int = 1 << 16) -> Iterator[bytes]:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with revisit (boolean) and refers_to: of rows with equal html of min_bytes or
+    """pages (page_id, url, html) with revisit (boolean), refers_to, first_url and shared (others
+    have the same html): of rows with equal html of min_bytes or
     more, the one with the least page_id (null last), then url, is no revisit, the others name it.
 
     Digests, ids and urls alone are grouped, with partial sums, so a payload shared by a third of all rows gives a few
@@ -145,7 +149,9 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         repeated = written(repeated.join(candidates, "digest"), "warc-repeated")
         is_first = F.col("row") == F.col("first_row")
     revisit = F.coalesce(F.col("first_n").isNotNull() & ~is_first, F.lit(False))
-    return keyed.join(repeated, "digest", "left").select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first_page")).alias("refers_to"))
+    return keyed.join(repeated, "digest", "left").select(
+        "page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first_page")).alias("refers_to"), F.when(revisit, F.col("first_url")).alias("first_url"), F.col("first_n").isNotNull().alias("shared")
+    )
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, dict_bytes: int = 64 << 10, sample_bytes: int = 2 << 20, level: int = 3) -> DataFrame:
@@ -160,11 +166,15 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, dict_bytes: int
         def records() -> Iterator[bytes]:
             for batch in (b for many in ([first], batches) for b in many):
                 for part in slices(batch, "html"):
-                    cols = [part.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "revisit")]
-                    for key, url, refers_to, revisit, html in zip(*cols, texts_of(part.column("html")), strict=True):
-                        yield make_record(key, url, html.encode(), refers_to, revisit)
-
-        shard = TaskContext.get().partitionId()
+                    cols = [part.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "revisit", "first_url", "shared")]
+                    for key, url, refers_to, revisit, first_url, shared, html in zip(*cols, texts_of(part.column("html")), strict=True):
+                        payload = html.encode()
+                        # of a shared payload there is one response, which revisits in other files name by its digest
+                        response = record_id(path, "response", base32_sha1(payload)) if shared else None
+                        own = response if shared and not revisit else record_id(path, shard, next(number))
+                        yield make_record(key, url, payload, refers_to, revisit, own, first_url, response)
+
+        shard, number = TaskContext.get().partitionId(), count()
         name = f"{path}/part-{shard:06d}.warc.zst"
         with atomic_output(name) as out:
             n = write_shard(out, records(), sample_bytes, dict_bytes, level)

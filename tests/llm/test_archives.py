@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from cases import AWKWARD
 
-from keelson.llm import media, warc
+from keelson.llm import common, media, warc
 
 PAGES = [(3, "http://a/", "<p>same</p>"), (1, "http://b/\r\nX: y", "<p>same</p>"), (2, None, None), (4, "http://c/", ""), (None, "http://d/", "<p>same</p>"), (7, "http://e/", "né" * 5000), (7, "http://e/", "né" * 5000), (8, "http://f/", "a\r\n\r\nb")]
 
@@ -43,7 +43,7 @@ def test_warc_of_nothing(spark):
 
 def test_file_form():
     out = io.BytesIO()
-    records = [warc.make_record(i, f"http://x/{i}", b"<html>some page text here</html>" * 5, None, False) for i in range(300)]
+    records = [warc.make_record(i, f"http://x/{i}", b"<html>some page text here</html>" * 5, None, False, warc.record_id("a", i)) for i in range(300)]
     assert warc.write_shard(out, iter(records), 1 << 16, 4096, 3) == 300
     data = out.getvalue()
     assert struct.unpack("<I", data[:4])[0] == 0x184D2A5D
@@ -55,6 +55,52 @@ def test_file_form():
         warc.parse_record(records[0].replace(b"some page", b"xxxx page", 1))
 
 
+def test_record_ids_are_unique_and_revisits_name_their_response(spark):
+    rows = [(1, "u/1", "same"), (1, "u/1", "same"), (2, "u/2", "same"), (3, "u/3", "other"), (3, "u/3", None), (None, None, ""), (4, "u/4", "same")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for least in (0, 5):
+        manifest = warc.write_warc(pages, warc.run_uri(spark, "warc"), min_bytes=least).collect()
+        heads = []
+        for m in manifest:
+            with open(m["path"].removeprefix("file:"), "rb") as file:
+                heads += [dict(x.split(": ", 1) for x in r.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for r in warc.read_shard(file)]
+        ids = {h["WARC-Record-ID"]: h for h in heads}
+        assert len(heads) == len(rows) == len(ids)
+        revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+        assert len(revisits) == (11 if least == 0 else 1)
+        for h in revisits:
+            first = ids[h["WARC-Refers-To"]]
+            assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+            assert (first["WARC-Target-URI"], first["WARC-Date"]) == (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"])
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(Conf)
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return Cluster.sparkContext
+
+            @staticmethod
+            def getCheckpointDir():
+                return Cluster
+
+        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_uri(Cluster)
+
+
 def test_media_round_trip(spark, awkward):
     rows = media.media_round_trip(awkward.repartition(3)).collect()
     got = sorted((str(r["doc_id"]), r["n_bytes"], bytes(r["payload"])) for r in rows)

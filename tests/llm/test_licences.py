@@ -65,3 +65,13 @@ def test_entire_texts_and_blocks_of_lines(spark):
     found = {r["doc_id"]: tuple(r)[1:] for r in licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [found[i][0] for i in range(len(files))] == [f.stem for f in files]
     assert found[100] == (None, "MIT", 1) and found[101] == (None, None, 0) and found[102] == (None, "Apache-2.0", 1)
+
+
+def test_any_order_of_rows(spark):
+    """Inputs whose rows come in another order each time they are read."""
+    texts = [t for _, t in licences.KNOWN if len(t) < 200]
+    docs = [(i, f"line {i}\n{texts[i % len(texts)]}" if i % 3 else f"plain {i}") for i in range(2000)]
+    want = brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for shuffled in (df.repartition(7), df.distinct(), df.join(df.select("doc_id").repartition(5), "doc_id"), df.orderBy("text")):
+        assert sorted((tuple(r) for r in licences.scan(shuffled).collect()), key=str) == want
