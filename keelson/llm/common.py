@@ -60,6 +60,11 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def task_each(spark: SparkSession, n: int) -> DataFrame:
+    """id from 0 to n - 1, each in a task of its own."""
+    return spark.range(0, n, 1, max(1, n))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri

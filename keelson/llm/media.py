@@ -9,6 +9,7 @@ again for that member alone.
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import time
 import zipfile
@@ -90,8 +91,31 @@ class ByteRange(InputPartition):
         self.archive, self.begin, self.end = archive, begin, end
 
 
+class HeldFile:
+    """Gives one open file for member after member, and a new one after an error."""
+
+    def __init__(self, uri: str):
+        self.uri, self.file = uri, None
+
+    @contextlib.contextmanager
+    def __call__(self) -> Iterator[pa.NativeFile]:
+        if self.file is None:
+            self.file = open_input(self.uri)
+        try:
+            yield self.file
+        except BaseException:
+            self.close()
+            raise
+
+    def close(self) -> None:
+        held, self.file = self.file, None
+        with contextlib.suppress(OSError):
+            if held:
+                held.close()
+
+
 def read_member(open_file, offset: int, packed: int, size: int, crc: int, method: int, tries: int = 3, wait_s: float = 0.2) -> bytes:
-    """The member whose local header is at offset. open_file: gives a new file each time it is called."""
+    """The member whose local header is at offset. open_file: gives a file each time it is called, a new one after an error."""
     for attempt in range(tries):
         try:
             with open_file() as file:
@@ -101,9 +125,9 @@ def read_member(open_file, offset: int, packed: int, size: int, crc: int, method
                     raise OSError(f"no member at {offset}")
                 file.seek(offset + 30 + sum(struct.unpack("<HH", head[26:30])))
                 data = file.read(packed)
-            data = zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else data
-            if len(data) != size or zlib.crc32(data) != crc:
-                raise OSError(f"member at {offset} is damaged")
+                data = zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else data
+                if len(data) != size or zlib.crc32(data) != crc:
+                    raise OSError(f"member at {offset} is damaged")
             return data
         except (OSError, zlib.error):
             if attempt + 1 == tries:
@@ -129,15 +153,16 @@ class ArchiveReader(DataSourceReader):
             return
         with open_input(partition.archive) as file, zipfile.ZipFile(file) as archive:
             members = [m for m in archive.infolist() if partition.begin <= m.header_offset < partition.end]
-        rows, held = [], 0
+        rows, held, file = [], 0, HeldFile(partition.archive)
         for m in members:
-            media = read_member(lambda: open_input(partition.archive), m.header_offset, m.compress_size, m.file_size, m.CRC, m.compress_type, self.tries)
+            media = read_member(file, m.header_offset, m.compress_size, m.file_size, m.CRC, m.compress_type, self.tries)
             key, n = m.filename.removesuffix(".wav").split("/")[1:]
             rows.append((None if key == "null" else int(key), int(n), partition.archive, m.header_offset, from_wav(media), media))
             held += 2 * len(media)
             if held >= self.batch_bytes:
                 yield _batch(rows)
                 rows, held = [], 0
+        file.close()
         if rows:
             yield _batch(rows)
 

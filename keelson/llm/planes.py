@@ -26,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import atomic_output, json_encoder, open_input, run_uri, slices, texts_of
+from .common import atomic_output, json_encoder, open_input, run_uri, slices, task_each, texts_of
 
 MAGIC = b"KPLN0001"
-MANIFEST = "path string, shard long, docs long, tokens long, bytes long"
+MANIFEST = "path string, shard long, part long, docs long, tokens long, bytes long"
 DOCS = "doc_id long, start long, n_tokens long, ids binary"
 
 
@@ -125,9 +125,10 @@ class PlaneReader:
             held, have, start = [data[n:]], have - n, start + n
 
 
-def write_planes(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, block: int = 1 << 16, kind: str = "byte", level: int = 1) -> DataFrame:
-    """Encodes every document, appends end_id, and writes a file for each range of doc_id, in ascending order
-    over the files; returns the manifest (path, shard, docs, tokens, bytes), a row for each file.
+def write_planes(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, block: int = 1 << 16, kind: str = "byte", level: int = 1, file_bytes: int = 256 << 20) -> DataFrame:
+    """Encodes every document, appends end_id, and writes files for each range of doc_id, in ascending order over the
+    files, the next one where one has file_bytes; returns the manifest (path, shard, part, docs, tokens, bytes), a row
+    for each file.
 
     Null doc_ids come first; equal ones lie in the order of their texts; null text counts as empty. An empty
     table writes no file. Rows are dealt by sampled ranges of (doc_id, hash of the text), so that one doc_id
@@ -138,18 +139,25 @@ def write_planes(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = json_encoder(vocabulary), int(end_id).to_bytes(4, "little")
         shard = TaskContext.get().partitionId()
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        name = f"{path}/shard-{shard:06d}.planes"
-        with atomic_output(name) as out:
-            writer = PlaneWriter(out, block, kind, level)
-            for batch in (b for many in ([first], batches) for b in many):
+
+        def encoded() -> Iterator[tuple]:
+            for batch in batches:
                 for part in slices(batch, "text"):
                     for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts_of(part.column("text"))), strict=True):
-                        writer.add(doc_id, ids + end)
-            size = writer.close()
-        yield pa.RecordBatch.from_pylist([{"path": name, "shard": shard, "docs": len(writer.counts), "tokens": sum(writer.counts), "bytes": size}])
+                        yield doc_id, ids + end
+
+        rows, part = encoded(), 0
+        row = next(rows, None)
+        while row is not None:
+            name = f"{path}/shard-{shard:06d}-{part:06d}.planes"
+            with atomic_output(name) as out:
+                writer = PlaneWriter(out, block, kind, level)
+                while row is not None and (not writer.counts or out.tell() < file_bytes):
+                    writer.add(*row)
+                    row = next(rows, None)
+                size = writer.close()
+            yield pa.RecordBatch.from_pylist([{"path": name, "shard": shard, "part": part, "docs": len(writer.counts), "tokens": sum(writer.counts), "bytes": size}])
+            part += 1
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("part", F.xxhash64("text"))
     return keyed.repartitionByRange("doc_id", "part").sortWithinPartitions("doc_id", "part", "text").select("doc_id", "text").mapInArrow(run, MANIFEST)
@@ -159,17 +167,18 @@ def read_planes(spark: SparkSession, manifest: list) -> DataFrame:
     """The documents of the files in manifest (collected rows of write_planes; one for each file, so small):
     doc_id, start (ids of all documents before it, over all files), n_tokens, ids. A task for each file."""
     base, rows = 0, []
-    for m in sorted(manifest, key=lambda m: m["shard"]):
+    for m in sorted(manifest, key=lambda m: (m["shard"], m["part"])):
         rows.append((m["path"], m["bytes"], base))
         base += m["tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m in batch.to_pylist():
-                with open_input(m["path"]) as file:
+            for at in batch.column("id").to_pylist():
+                path, length, base = rows[at]
+                with open_input(path) as file:
                     held, size = [], 0
-                    for doc_id, start, ids in PlaneReader(file, m["bytes"]).documents():
-                        held.append((doc_id, m["base"] + start, len(ids) // 4, ids))
+                    for doc_id, start, ids in PlaneReader(file, length).documents():
+                        held.append((doc_id, base + start, len(ids) // 4, ids))
                         size += len(ids)
                         if size > 8 << 20:
                             yield _batch(held)
@@ -181,8 +190,7 @@ def read_planes(spark: SparkSession, manifest: list) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
 
-    files = spark.createDataFrame(rows, "path string, bytes long, base long")
-    return files.repartition(max(1, len(rows)), "path").mapInArrow(run, DOCS)
+    return task_each(spark, len(rows)).mapInArrow(run, DOCS)
 
 
 def plane_round_trip(docs: DataFrame, **options) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import atomic_output, open_input, run_uri, slices, texts_of, written
+from .common import atomic_output, open_input, run_uri, slices, task_each, texts_of, written
 
 DICTIONARY_FRAME = 0x184D2A5D  # fixed values of the format, as the two below
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -195,9 +195,9 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for at in batch.column("id").to_pylist():
                 rows, size = [], 0
-                with open_input(path) as file:
+                with open_input(paths[at]) as file:
                     for record in read_shard(file):
                         rows.append(parse_record(record))
                         size += len(record)
@@ -207,8 +207,7 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string")
-    return files.repartition(max(1, len(paths)), "path").mapInArrow(run, RECORDS)
+    return task_each(spark, len(paths)).mapInArrow(run, RECORDS)
 
 
 def warc_round_trip(pages: DataFrame, **options) -> DataFrame:

@@ -124,6 +124,14 @@ def test_plane_files_of_nothing(empty):
     assert planes.plane_round_trip(empty).count() == 0
 
 
+def test_files_roll_and_read_back_alike(spark, sample, tmp_path):
+    docs = sample.select("doc_id", "text").repartition(3)
+    whole = planes.read_planes(spark, planes.write_planes(docs, str(tmp_path / "a")).collect())
+    manifest = planes.write_planes(docs, str(tmp_path / "b"), file_bytes=20_000, block=1 << 10).collect()
+    assert len(manifest) > 8 and all(m["bytes"] < 200_000 or m["docs"] == 1 for m in manifest)
+    assert sorted(map(tuple, planes.read_planes(spark, manifest).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_cut_file_is_refused(awkward, tmp_path):
     manifest = planes.write_planes(awkward, str(tmp_path)).collect()[0]
     data = open(manifest["path"], "rb").read()
