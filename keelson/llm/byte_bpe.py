@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentEncoder, slices, texts_of
+from .common import SegmentEncoder, disputed, slices, texts_of
 
 _TO_CHARS = {b: 0x100 + b for b in range(256)}
 
@@ -77,9 +77,11 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
         import sentencepiece
+        from tokenizers import Regex, pre_tokenizers
 
         model, rank_of = sentencepiece_model(ranks)
         self.ranks, self.find, self.rank_of = ranks, regex.compile(pattern).findall, rank_of
+        self.split = pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str  # slower, but of the libraries' own age
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.segments = SegmentEncoder(self._encode)
@@ -93,7 +95,7 @@ class ByteBpe:
         return cls._held[vocabulary]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        parts = [[p.encode() for p in self.find(t)] for t in texts]
+        parts = [[p.encode() for p in ([x for x, _ in self.split(t)] if disputed(t) else self.find(t))] for t in texts]
         new = list({p for p in chain.from_iterable(parts) if p not in self.ranks})
         rank_of = self.rank_of.__getitem__
         ids = dict(zip(new, ([*map(rank_of, x)] for x in self.model.encode([mapped(p) for p in new], num_threads=1)), strict=True)) if new else {}

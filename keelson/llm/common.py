@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import os
 import re
 import tempfile
@@ -23,8 +24,33 @@ _WS = " \t-\r" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: White space with the word or the signs after it. No pre-token of the public pattern runs from a non-space
 #: into a space, or from a letter or digit into any other sign, and none looks behind itself; so encoding
 #: these one by one equals encoding the whole text. (Signs stay with the letters after them: "'s" is one.)
+#: That holds for characters that Python and the pattern both take for letters or digits, or both for signs; see disputed().
 SEGMENT = re.compile(rf"[{_WS}]*(?:[^\W_]+|(?:_|[^\w{_WS}])+[^\W_]*)|[{_WS}]+")
 
+
+@functools.cache
+def _disputed() -> re.Pattern:
+    """The characters that this Python and a newer Unicode table take for different kinds, most of them new letters: which
+    one a tokenizer library follows depends on its own age."""
+    import regex
+
+    every = "".join(map(chr, (*range(0x250, 0xD800), *range(0xE000, 0x110000))))
+    codes = sorted(map(ord, {*re.findall(r"[^\W_]", every)} ^ {*regex.findall(r"[\p{L}\p{N}]", every)}))
+    first = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    last = [c for c, after in zip(codes, [*codes[1:], -2], strict=False) if c != after - 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True)) + "]")
+
+
+def disputed(text: str) -> bool:
+    """Whether a text has such a character; then only the library itself may cut it."""
+    if text.isascii():
+        return False
+    with contextlib.suppress(UnicodeEncodeError):
+        text.encode("latin-1")
+        return False
+    return _disputed().search(text) is not None
+
+
 #: Words of the contracts: runs without the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -138,12 +164,12 @@ class SegmentEncoder:
     characters aren't kept. Neither changes a result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_200_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 800_000, longest: int = 64):
         self.encode, self.most, self.longest, self.cache = encode, most, longest, {}
 
     def __call__(self, texts: list[str], pattern: re.Pattern = SEGMENT, prefix: str = "") -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        return self.joined([pattern.findall(t) for t in texts], prefix)
+        return self.joined([[t] if disputed(t) else pattern.findall(t) for t in texts], prefix)
 
     def fill(self, segments: list[list[str]], prefix: str = "") -> list[str]:
         """Afterwards the cache has every segment; returns those to be dropped by drop()."""
@@ -170,6 +196,12 @@ class SegmentEncoder:
 _ENCODERS: dict[str, SegmentEncoder] = {}
 
 
+def forget() -> None:
+    """Empties the caches that encoders have left in this Python worker, for operators that need none of them."""
+    for encoder in _ENCODERS.values():
+        encoder.cache.clear()
+
+
 class JsonTokenizer:
     """The tokenizers library over a file of the public vocabulary package, special tokens' strings as ordinary text."""
 

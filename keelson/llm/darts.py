@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, slices, texts_of, written
+from .common import forget, ranges, slices, texts_of, written
 
 _TOKEN = re.compile(r"\w+")
 _LOW = 3  # ranks under 1 are cut at 1/8, 1/4 and 1/2, so that large sets look at few cells
@@ -173,6 +173,7 @@ def sign(docs: DataFrame, k: int, size: int, weights: str) -> DataFrame:
     """row, doc_id, digest (128 bits of the word sequence, so equal for copies), sig (k 16-bit ids; null without words), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler = Shingler(size)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):

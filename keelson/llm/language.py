@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import segment_sum, slices, texts_of
+from .common import forget, segment_sum, slices, texts_of
 from .ngrams import char_ngrams
 
 UNKNOWN = "und"
@@ -94,6 +94,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 langs, score = shared.value.predict(texts_of(part.column("text")))
@@ -107,6 +108,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
                 langs, score = shared.value.predict(texts_of(part.column(text_col)))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import segment_sum, slices, texts_of
+from .common import forget, segment_sum, slices, texts_of
 from .ngrams import Words, char_ngrams
 
 BITS = 15  # buckets of a group
@@ -90,6 +90,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = texts_of(part.column("text"))
@@ -155,6 +156,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 out = assess(texts_of(part.column("text")), shared.value)
@@ -168,6 +170,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
                 yield part.filter(pa.array(assess(texts_of(part.column(text_col)), shared.value)["kept"]))

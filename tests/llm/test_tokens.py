@@ -46,6 +46,16 @@ def test_segments_encode_as_the_whole(direct, tik, texts):
     assert [own.decode(x) for x in ids] == [t.encode() for t in texts]
 
 
+def test_characters_of_any_age(direct, tik):
+    """Letters that are newer than one of the libraries, among other letters, signs and digits."""
+    own, by_json = byte_bpe.ByteBpe.of("byte_bpe_50k.tiktoken"), json_encoder("byte_bpe_50k.json")
+    some = [chr(c) for c in (*range(0x20, 0x3000, 3), *range(0xA000, 0xD800, 7), *range(0xE000, 0x33500, 11))]
+    for form in ("{0}'s", "a{0}'s x{0} {0}1", "'{0}!"):
+        texts = [form.format(c) for c in some]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [tik.encode_ordinary(t) for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in by_json(texts)] == [direct(t) for t in texts]
+
+
 @given(st.lists(st.integers(1, 70), max_size=40), st.integers(1, 16))
 @settings(max_examples=200, deadline=None)
 def test_block_is_packed_without_gaps(lengths, capacity):
