@@ -216,20 +216,31 @@ class JsonTokenizer:
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts that begin with a space or line break and end in a letter are encoded in runs, which costs less a text:
-        no token spans two of them, so the tokens' bytes tell where each begins."""
-        plain = [bool(t) and t[0] in " \n" and t[-1].isalnum() for t in texts]
-        alone = [t for t, p in zip(texts, plain, strict=True) if not p]
-        rest = iter(self._ids(alone))
-        run, joined = [t for t, p in zip(texts, plain, strict=True) if p], []
-        for at in range(0, len(run), 400):
-            part = run[at : at + 400]
+        ids, begins, sizes = self.flat(texts)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * begins).tolist(), (4 * (begins + sizes)).tolist(), strict=True)]
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, where each text's begin among them, and how many it has. Texts that begin with a space or line
+        break and end in a letter are encoded in runs, which costs less a text: no token spans two of them, so the tokens'
+        bytes tell where each begins."""
+        plain = np.fromiter((bool(t) and t[0] in " \n" and t[-1].isalnum() for t in texts), bool, len(texts))
+        runs, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        begins, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        parts = self._ids([texts[i] for i in alone])
+        sizes[alone] = [len(x) // 4 for x in parts]
+        begins[alone] = np.cumsum(sizes[alone]) - sizes[alone]
+        held = int(sizes.sum())
+        for at in range(0, len(runs), 400):
+            own = runs[at : at + 400]
+            part = [texts[i] for i in own]
             data = self._ids(["".join(part)])[0]
             ends = np.cumsum(self.sizes[np.frombuffer(data, np.uint32)])
-            cuts = [0, *(4 * (np.searchsorted(ends, np.cumsum([len(t.encode()) for t in part])) + 1)).tolist()]
-            joined += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        of_run = iter(joined)
-        return [next(of_run) if p else next(rest) for p in plain]
+            cuts = np.concatenate([[0], np.searchsorted(ends, np.cumsum([len(t.encode()) for t in part])) + 1])
+            begins[own], sizes[own] = held + cuts[:-1], np.diff(cuts)
+            held += len(data) // 4
+            parts.append(data)
+        return np.frombuffer(b"".join(parts), np.uint32), begins, sizes
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
