@@ -207,3 +207,14 @@ def test_command_line(tmp_path, capsys):
     assert main(["from-sql", str(sql), "-o", str(tmp_path / "out")]) == 0 and "id int [pk]" in (tmp_path / "out").read_text()
     file.write_text("Table {")
     assert main(["to-sql", str(file)]) == 1
+
+
+def test_one_add_for_several_columns():
+    report = import_sql("CREATE TABLE a (x INT);\nALTER TABLE a ADD b INT NOT NULL, c DECIMAL(5,2), CONSTRAINT u UNIQUE (b), d VARCHAR(10) DEFAULT 'x';", "mssql")
+    table = report.value.tables[0]
+    assert [c.name for c in table.columns] == ["x", "b", "c", "d"]
+    assert table.column("b").not_null and table.column("d").default is not None and not report.errors
+    assert [(i.name, i.unique) for i in table.indexes] == [("u", True)]
+    for dialect in ("postgres", "mysql"):
+        table = import_sql("CREATE TABLE a (x INT); ALTER TABLE a ADD b INT, ADD COLUMN c INT;", dialect).value.tables[0]
+        assert [c.name for c in table.columns] == ["x", "b", "c"]
