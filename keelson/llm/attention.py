@@ -11,8 +11,8 @@ Scoring cuts a text into windows that overlap: each starts `overlap` ids before
 only ids not scored before count, so each counts once, with at least `overlap` ids before it, the text's
 first ones aside. Windows of many texts go through as one batch under one causal mask.
 
-Corpus statistics (counts of words and of ids) cover all training texts. The weights are fitted on a share of
-them, on the executors, by rounds of descent whose weights are averaged.
+Corpus statistics (counts of words and of ids) cover all training texts, and the weights are fitted to all windows of
+all of them, on the executors, by rounds of descent whose weights are averaged.
 """
 
 from __future__ import annotations
@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import JsonTokenizer, SegmentEncoder, ranges, slices, texts_of, written
+from .common import IdTable, JsonTokenizer, id_table, ranges, segment_sum, slices, strings_of, text_bytes, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LOWER_OF = np.frombuffer(_LOWER, np.uint8)
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 LN10 = float(np.log(10.0))
 
 
@@ -73,14 +75,20 @@ class Units:
         return -(-self.count // self.members)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+SAFE, BIG = 80.0, 1e30  # exponents under SAFE can't overflow 32-bit floats, nor sums of them; sums under 1 / BIG lose digits
 
 
-SAFE, BIG = 80.0, 1e30  # exponents under SAFE can't overflow 32-bit floats, nor sums of them; sums under 1 / BIG lose digits
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Of each row. Exponents are shifted by the row's greatest only where a sum would leave the range of floats."""
+    if x.max(initial=0) < SAFE:
+        out = np.exp(x)
+        total = out @ np.ones(x.shape[-1], x.dtype)
+        if total.min(initial=1) > 1 / BIG:
+            out *= (1 / total)[..., None]
+            return out
+    out = np.exp(x - x.max(-1, keepdims=True))
+    out /= out.sum(-1, keepdims=True)
+    return out
 
 
 def _log_sum_exp(x: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -127,7 +135,7 @@ class AttentionModel:
         q *= q.dtype.type(self.keys**-0.5)
         a = q @ k.transpose(0, 2, 1)
         a += mask
-        _softmax(a)
+        a = _softmax(a)
         c = a @ v
         h = e + (c.reshape(-1, d) @ w["out"]).reshape(e.shape)
         up = np.maximum(h.reshape(-1, d) @ w["up"] + w["up_b"], 0)
@@ -156,48 +164,89 @@ class AttentionModel:
             out[rows] += logit[np.arange(len(rows)), target[rows] % m] - np.log(np.exp(logit).sum(1))
         return out
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the scored places, and its gradient by every weight."""
-        w, d, m = self.w, self.dim, self.units.members
-        s: dict = {}
-        g = self._hidden(x, self.mask, s)
-        gs, target = g[scored], y[scored]
-        n, loss = len(target), 0.0
-        grad = {k: np.zeros_like(v) for k, v in w.items()}
-        p = _softmax(gs @ w["cls"] + w["cls_b"])
-        at = np.arange(n), target // m
-        loss -= float(np.log(p[at] + 1e-30).sum())
-        p[at] -= 1
-        grad["cls"], grad["cls_b"] = gs.T @ p / n, p.sum(0) / n
-        dgs = p @ w["cls"].T
-        for c, rows in self._by_class(target):
-            p = _softmax(gs[rows] @ w["mem"][c] + w["mem_b"][c])
-            at = np.arange(len(rows)), target[rows] % m
-            loss -= float(np.log(p[at] + 1e-30).sum())
-            p[at] -= 1
-            grad["mem"][c], grad["mem_b"][c] = gs[rows].T @ p / n, p.sum(0) / n
-            dgs[rows] += p @ w["mem"][c].T
-        dg = np.zeros_like(g)
-        dg[scored] = dgs / n
-        flat = dg.reshape(-1, d)
-        dup = (flat @ w["down"].T) * (s["up"] > 0)
-        grad["down"], grad["up"], grad["up_b"] = s["up"].T @ flat, s["h"].reshape(-1, d).T @ dup, dup.sum(0)
-        dh = dg + (dup @ w["up"].T).reshape(dg.shape)
-        grad["out"] = s["c"].reshape(-1, d).T @ dh.reshape(-1, d)
-        dc = (dh.reshape(-1, d) @ w["out"].T).reshape(dh.shape)
-        dv = s["a"].transpose(0, 2, 1) @ dc
-        da = dc @ s["v"].transpose(0, 2, 1)
-        ds = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True))
-        dq, dk = (ds @ s["k"]) * ds.dtype.type(self.keys**-0.5), ds.transpose(0, 2, 1) @ s["q"]
-        dqkv = np.concatenate([dq, dk, dv], -1).reshape(-1, 2 * self.keys + d)
-        grad["qkv"] = s["e"].reshape(-1, d).T @ dqkv
-        de = dh + (dqkv @ w["qkv"].T).reshape(dh.shape)
-        grad["pos"] = de.sum(0)
-        order = np.argsort(x.reshape(-1), kind="stable")
+    def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, low: int = 0) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the scored places, all of them from slot `low` on, and its gradient by every weight. Of the slots
+        before `low` only keys and values are worked out."""
+        w, d, m, k, classes = self.w, self.dim, self.units.members, self.keys, self.units.classes
+        shape, scale = (len(x), x.shape[1] - low), k**-0.5
+        e = np.take(w["emb"], x, 0, mode="clip")
+        e += w["pos"]
+        flat, own = e.reshape(-1, d), e[:, low:].reshape(-1, d)
+        key, value = ((flat @ np.ascontiguousarray(z)).reshape(*x.shape, -1) for z in (w["qkv"][:, k : 2 * k], w["qkv"][:, 2 * k :]))
+        wq = w["qkv"][:, :k] * scale
+        query = (own @ wq).reshape(*shape, k)
+        a = query @ key.transpose(0, 2, 1)
+        a += self.mask[low:]
+        a = _softmax(a)
+        c = (a @ value).reshape(-1, d)
+        h = c @ w["out"]
+        h += own
+        up = h @ w["up"]
+        up += w["up_b"]
+        np.maximum(up, 0, out=up)
+        g = up @ w["down"]
+        g += h
+        at = np.flatnonzero(scored[:, low:])
+        target = y[:, low:].reshape(-1)[at]
+        order = np.argsort((target // m).astype(np.uint16), kind="stable")
+        at, target = at[order], target[order]
+        gs, n, place = np.take(g, at, 0, mode="clip"), len(at), np.arange(len(at))
+        grad = {}
+
+        def outputs(logit: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, float]:
+            p, pick = _softmax(logit), place * logit.shape[1] + pick
+            loss = -float(np.log(p.reshape(-1)[pick] + 1e-30).sum())
+            p.reshape(-1)[pick] -= 1
+            p *= p.dtype.type(1 / max(1, n))
+            return p, loss
+
+        logit = gs @ w["cls"]
+        logit += w["cls_b"]
+        p, loss = outputs(logit, target // m)
+        grad["cls"], grad["cls_b"], dgs = gs.T @ p, p.sum(0), np.zeros((n + 1, d), g.dtype)  # the last for places that aren't scored
+        np.matmul(p, w["cls"].T, out=dgs[:n])
+        per = np.bincount(target // m, minlength=classes)
+        cuts = [(i, b - size, b) for i, (size, b) in enumerate(zip(per.tolist(), np.cumsum(per).tolist(), strict=True)) if size]
+        logit = np.repeat(w["mem_b"], per, axis=0)
+        for i, a0, b0 in cuts:
+            logit[a0:b0] += gs[a0:b0] @ w["mem"][i]
+        p, more = outputs(logit, target % m)
+        grad["mem"], grad["mem_b"] = np.zeros_like(w["mem"]), np.zeros_like(w["mem_b"])
+        for i, a0, b0 in cuts:
+            np.matmul(gs[a0:b0].T, p[a0:b0], out=grad["mem"][i])
+            grad["mem_b"][i] = p[a0:b0].sum(0)
+            dgs[a0:b0] += p[a0:b0] @ w["mem"][i].T
+        back = np.full(len(g), n)
+        back[at] = place
+        dg = np.take(dgs, back, 0, mode="clip")
+        dup = dg @ w["down"].T
+        dup *= up > 0
+        grad["down"], grad["up"], grad["up_b"] = up.T @ dg, h.T @ dup, dup.sum(0)
+        dh = dup @ w["up"].T
+        dh += dg
+        grad["out"] = c.T @ dh
+        dc = dh @ w["out"].T
+        level = np.einsum("ij,ij->i", dc, c).reshape(*shape, 1)  # what the softmax takes off: the weights' mean of the values' gradients
+        dc = dc.reshape(*shape, d)
+        dvalue = a.transpose(0, 2, 1) @ dc
+        ds = dc @ value.transpose(0, 2, 1)
+        ds -= level
+        ds *= a
+        dquery, dkey = (ds @ key).reshape(-1, k), (ds.transpose(0, 2, 1) @ query).reshape(-1, k)
+        dvalue = dvalue.reshape(-1, d)
+        grad["qkv"] = np.concatenate([own.T @ dquery * scale, flat.T @ dkey, flat.T @ dvalue], 1)
+        de = dkey @ w["qkv"][:, k : 2 * k].T
+        de += dvalue @ w["qkv"][:, 2 * k :].T
+        dh += dquery @ wq.T
+        by_slot = de.reshape(*x.shape, d)
+        by_slot[:, low:] += dh.reshape(*shape, d)
+        grad["pos"] = by_slot.sum(0)
+        order = np.argsort(x.reshape(-1).astype(np.uint16 if self.units.count < 1 << 16 else x.dtype), kind="stable")
         ids = x.reshape(-1)[order]
         first = np.flatnonzero(np.diff(ids, prepend=-1))
-        grad["emb"][ids[first]] = np.add.reduceat(de.reshape(-1, d)[order], first)
-        return loss / n, grad
+        grad["emb"] = np.zeros_like(w["emb"])
+        grad["emb"][ids[first]] = np.add.reduceat(np.take(de, order, 0, mode="clip"), first)
+        return (loss + more) / max(1, n), grad
 
     def windows(self, lengths: np.ndarray) -> np.ndarray:
         """Of texts end to end, of so many places each: a row (first place, places left in the text, number in it) for
@@ -310,86 +359,84 @@ class AttentionModel:
                 log[slot[scored]] += self._infer(read[slot], target[slot], scored, low)
         return np.add.reduceat(log, np.cumsum(lengths) - lengths) / LN10 if len(ids) else np.zeros(0)
 
-    def descend(self, read: np.ndarray, target: np.ndarray, scored: np.ndarray, batch: int = 32, rates: tuple[float, float] = (0.02, 0.002), seed: int = 0) -> float:
-        """Adam once over windows (rows of read, target, scored) in seeded random order, the rate falling from the first to
-        the second of `rates`; returns the mean loss."""
-        m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
-        order, steps, sums = np.random.default_rng(seed).permutation(len(read)), -(-len(read) // batch), []
-        for step in range(steps):
-            pick = order[step * batch : (step + 1) * batch]
-            loss, grad = self.gradient(read[pick], target[pick], scored[pick])
-            rate = rates[0] + (rates[1] - rates[0]) * step / steps
-            for k, g in grad.items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                self.w[k] -= (rate / (1 - 0.9 ** (step + 1)) * m[k] / (np.sqrt(v[k] / (1 - 0.99 ** (step + 1))) + 1e-8)).astype(self.w[k].dtype)
-            sums.append(loss)
-        self.tables = None
-        return float(np.mean(sums)) if sums else 0.0
+
+class Descent:
+    """Adam over a model's weights, which it moves into one array, end to end."""
+
+    def __init__(self, model: AttentionModel, rates: tuple[float, float], batch: int = 128, seed: int = 0):
+        self.model, self.rates, self.batch, self.random, self.steps, self.losses = model, rates, batch, np.random.default_rng(seed), 0, []
+        self.flat = np.concatenate([v.reshape(-1) for v in model.w.values()])
+        model.w = {k: x.reshape(v.shape) for (k, v), x in zip(model.w.items(), np.split(self.flat, np.cumsum([v.size for v in model.w.values()])[:-1]), strict=True)}
+        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat)
+
+    def over(self, ids: list[np.ndarray], begin: float = 0.0, end: float = 1.0) -> None:
+        """Once over all windows of the texts in random order, while the rate goes from begin to end of its way from the first
+        of `rates` to the second."""
+        m = self.model
+        read, target, _, lengths = m.places(ids)
+        windows, parts = m.windows(lengths), []
+        for some, low in ((windows[windows[:, 2] == 0], 0), (windows[windows[:, 2] > 0], m.overlap)):
+            some = some[self.random.permutation(len(some))]
+            parts += [(some[at : at + self.batch], low) for at in range(0, len(some), self.batch)]
+        for number, i in enumerate(self.random.permutation(len(parts))):
+            slot, scored = m.slots(parts[i][0])
+            done = min(1.0, begin + (end - begin) * number / len(parts))
+            self._step(read[slot], target[slot], scored, parts[i][1], self.rates[0] + (self.rates[1] - self.rates[0]) * done)
+        m.tables = None
+
+    def _step(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, low: int, rate: float) -> None:
+        loss, grad = self.model.gradient(x, y, scored, low)
+        g = np.concatenate([grad[k].reshape(-1) for k in self.model.w])
+        self.steps += 1
+        self.losses.append(loss)
+        self.mean += 0.1 * (g - self.mean)
+        g *= g
+        g -= self.square
+        g *= 0.01
+        self.square += g
+        np.multiply(self.square, 1 / (1 - 0.99**self.steps), out=g)
+        np.sqrt(g, out=g)
+        g += 1e-8
+        np.divide(self.mean, g, out=g)
+        g *= rate / (1 - 0.9**self.steps)
+        self.flat -= g
 
 
 # ---------------------------------------------------------------- corpus counts
 
 
 VOCABULARY = "byte_bpe_50k.json"
-_ENCODERS: dict[str, SegmentEncoder] = {}
 FIXED = 2.0**24  # parts of one in which weights are summed up
 END = ""  # the end's key among the words, none of which is empty
 
 
-def encode_words(words: list[list[bytes]], vocabulary: str = VOCABULARY) -> list[np.ndarray]:
-    """Ids of words in order, each with a leading space. Holds fewer words than other encoders, for the joins' sake."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = SegmentEncoder(lambda some, encode=JsonTokenizer(vocabulary).encode: encode([" " + w.decode() for w in some]), most=600_000)
-    return [np.frombuffer(x, np.uint32) for x in _ENCODERS[vocabulary].joined(words)]
-
-
-class _Rows(dict):
-    """Row numbers of words, in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def words_in(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """words_of() all texts, end to end, and how many each text has."""
+    data, ends = text_bytes(column)
+    data = _LOWER_OF[data]
+    out = _SPACE[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[ends] = True
+    begin = cut[:-1].copy()
+    begin[1:] |= out[:-1]
+    begin &= ~out
+    begins = np.flatnonzero(begin)
+    before = np.cumsum(out, dtype=np.int64)[begins]  # white space, which is left out
+    return strings_of(data[~out], begins - before), np.diff(np.searchsorted(begins, ends))
 
 
-class WordTable:
-    """Ids and logs of the words seen, so that a word of a text costs one lookup. Emptied when it holds `most` words."""
+def word_table(vocabulary: str = VOCABULARY) -> IdTable:
+    """Ids of words, each with a leading space. Holds fewer words than other encoders, for the joins' sake."""
+    return id_table(vocabulary, " ", most=400_000)
 
-    def __init__(self, hot: dict[bytes, float], vocabulary: str, most: int = 400_000):
-        self.hot, self.most, self.end = hot, most, hot.get(END.encode(), np.nan)
-        self.encode = JsonTokenizer(vocabulary).flat
-        self.clear()
 
-    def clear(self) -> None:
-        self.index, self.words = _Rows(), []
-        self.sizes, self.starts, self.logs, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint32)
-
-    def trim(self) -> None:
-        if len(self.words) > self.most:
-            self.clear()
-
-    def rows(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        """The row of each word of each text; words not seen before are added."""
-        at = [np.fromiter(map(self.index.__getitem__, own), np.int64, len(own)) for own in words]
-        if len(self.index) > len(self.words):
-            new = list(islice(self.index, len(self.words), None))
-            self.words += new
-            self.logs = np.concatenate([self.logs, [self.hot.get(w, np.nan) for w in new]])
-            sizes, starts, flat, held = [self.sizes], [self.starts], [self.flat], len(self.flat)
-            for i in range(0, len(new), 20_000):
-                ids, begins, own = self.encode([" " + w.decode() for w in new[i : i + 20_000]])
-                sizes.append(own)
-                starts.append(begins + held)
-                flat.append(ids)
-                held += len(ids)
-            self.sizes, self.starts, self.flat = (np.concatenate(x) for x in (sizes, starts, flat))
-        return at
-
-    def ids(self, at: list[np.ndarray]) -> np.ndarray:
-        """Of all words of all texts, end to end."""
-        own = np.concatenate(at) if at else np.zeros(0, np.int64)
-        sizes = self.sizes[own]
-        return self.flat[np.repeat(self.starts[own], sizes) + ranges(sizes)]
+def text_ids(column: pa.Array, table: IdTable) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text's ids, the rows of all its words in the table, end to end, and how many words it has."""
+    words, per = words_in(column)
+    rows = table.rows(words)
+    ids, sizes = table.ids(rows)
+    ends = np.cumsum(segment_sum(sizes, per).astype(np.int64))
+    return np.split(ids, ends[:-1]) if len(per) else [], rows, per
 
 
 def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
@@ -407,9 +454,11 @@ def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for text in texts_of(part.column("text")):
-                    held.update(words_of(text))
-                    held[b""] += 1
+                words, per = words_in(part.column("text"))
+                times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                for word, n in zip(words.dictionary.to_pylist(), times.tolist(), strict=True):
+                    held[word] += n
+                held[b""] += len(per)
                 if len(held) > most:
                     yield from flush()
         yield from flush()
@@ -421,12 +470,11 @@ def id_counts(words: DataFrame, vocabulary: str, size: int) -> np.ndarray:
     """How often each id occurs, from the counts of the words: every distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total, encode = np.zeros(size, np.int64), JsonTokenizer(vocabulary).flat
         for batch in batches:
             for part in slices(batch, "word"):
-                ids = encode_words([[w] for w in part.column("word").cast(pa.binary()).to_pylist()], vocabulary)
-                times = np.repeat(part.column("n").to_numpy(), [len(x) for x in ids])
-                total += np.bincount(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int64), times, size).astype(np.int64)
+                ids, begins, sizes = encode([" " + w for w in part.column("word").to_pylist()])
+                np.add.at(total, ids[np.repeat(begins, sizes) + ranges(sizes)], np.repeat(part.column("n").to_numpy(), sizes))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -439,55 +487,59 @@ def id_counts(words: DataFrame, vocabulary: str, size: int) -> np.ndarray:
 # ---------------------------------------------------------------- training and scoring
 
 
-def _learner(shared, rates: tuple[float, float], seed: int) -> Callable[[pa.Table], pa.Table]:
-    """Of a task's windows: place and value of every weight after one pass over them, from the shared model's weights. Values
-    are whole numbers, whose sums don't depend on their order."""
+def _learner(shared, vocabulary: str, rates: tuple[float, float], seed: int, expected: float, at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's texts: place and value of every weight after one pass over all their windows, from the shared model's weights.
+    Windows are shuffled among texts of `at_once` ids, and the rate falls over `expected` ids. Values are whole numbers, whose
+    sums don't depend on their order."""
 
-    def learn(table):
-        own = replace(shared.value, w={k: v.copy() for k, v in shared.value.w.items()}, tables=None, rooms={})
-        data = np.frombuffer(b"".join(sorted(table.column("data").to_pylist())), np.uint16).reshape(table.num_rows, 3, -1)
-        own.descend(data[:, 0].astype(np.int32), data[:, 1].astype(np.int32), data[:, 2] > 0, rates=rates, seed=seed)
-        flat = np.concatenate([v.reshape(-1) for v in own.w.values()])
-        return pa.table({"at": np.arange(len(flat)), "value": np.rint(flat.astype(np.float64) * FIXED).astype(np.int64)})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        descent, table = None, word_table(vocabulary)
+        held, size, done = [], 0, 0
+
+        def descend() -> None:
+            nonlocal descent, held, size, done
+            if descent is None:
+                descent = Descent(replace(shared.value, w=dict(shared.value.w), tables=None, rooms={}), rates, batch=int(min(256, max(32, expected // 12_000))), seed=seed)
+            descent.over(held, done / expected, (done + size) / expected)
+            held, size, done = [], 0, done + size
+
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                ids, _, _ = text_ids(part.column("text"), table)
+                table.trim()
+                for own in ids:  # one by one, so that batches' bounds change nothing
+                    held.append(own)
+                    size += len(own) + 1
+                    if size >= at_once:
+                        descend()
+        if held:
+            descend()
+        if descent is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(descent.flat))), pa.array(np.rint(descent.flat.astype(np.float64) * FIXED).astype(np.int64))], names=["at", "value"])
 
     return learn
 
 
-def fit(train: DataFrame, words: DataFrame, texts: int, vocabulary: str = VOCABULARY, share: float = 0.01, least_texts: int = 1500, rounds: int = 4, per_task: int = 16_384, rate: float = 0.02, **options) -> AttentionModel:
-    """Counts of ids come from all training texts (words: their counts, texts: their number). The weights are fitted to all
-    windows of a share of the texts (of about least_texts at least), chosen by a hash of doc_id, so what they learn from
-    grows with the corpus. In each round tasks of about per_task windows each go once over theirs, all from the same
-    weights, and their weights' means are the next round's; Spark sums them up, so the driver holds one model."""
+def fit(train: DataFrame, words: DataFrame, texts: int, vocabulary: str = VOCABULARY, least_texts: int = 1500, rounds: int = 4, per_task: int = 1_500_000, at_once: int = 750_000, rate: float = 0.02, **options) -> AttentionModel:
+    """Counts of ids come from all training texts (words: their counts, texts: their number), and the weights are fitted to all
+    windows of all of them: each text takes part in one round, or in so many more that a round has about least_texts. A hash
+    of the row deals the texts over the rounds, and within a round over tasks of about per_task ids, wherever they lay
+    before. In a round every task goes once over its texts, all from the same weights, and their weights' means are the next
+    round's; Spark sums them up, so the driver holds one model."""
     spark = train.sparkSession
     vocabulary_size = len(JsonTokenizer(vocabulary).sizes)
-    model = AttentionModel(Units.of(id_counts(words, vocabulary, vocabulary_size), texts), **options)
+    counts = id_counts(words, vocabulary, vocabulary_size)
+    model = AttentionModel(Units.of(counts, texts), **options)
     model.start()
-    cut = int(2**31 * min(1.0, max(share, least_texts / max(1, texts))))
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
-                ids = encode_words([words_of(t) for t in texts_of(part.column("text"))], vocabulary)
-                read, target, _, lengths = m.places(ids)
-                windows = m.windows(lengths)
-                per = np.bincount(np.searchsorted(np.cumsum(lengths), windows[:, 0], "right"), minlength=len(lengths))
-                key = np.repeat(part.column("key").to_numpy(), per)
-                for at in range(0, len(windows), 2000):
-                    some = windows[at : at + 2000]
-                    slot, scored = m.slots(some)
-                    flat = [x.tobytes() for x in np.concatenate((read[slot], target[slot], scored), 1).astype(np.uint16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 2000]), pa.array(some[:, 2]), pa.array(flat, pa.binary())], names=["key", "number", "data"])
-
-    chosen = train.withColumn("key", F.xxhash64("doc_id")).where(F.pmod(F.xxhash64("key"), F.lit(2**31)) < cut)
-    windows = written(chosen.select("key", "text").mapInArrow(run, "key long, number long, data binary"), "lm-windows")
-    tasks = max(1, -(-windows.count() // per_task))
-    dealt = windows.withColumn("task", F.pmod(F.xxhash64("key", "number", "data"), F.lit(tasks)))
+    repeats = max(1, min(rounds, -(-rounds * least_texts // max(1, texts))))
+    size = (int(counts.sum()) + texts) * repeats / rounds
+    tasks = max(1, round(size / per_task))
+    dealt = train.withColumn("key", F.xxhash64("doc_id", "text"))
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         rates = tuple(rate * (1 - 0.9 * (number + x) / rounds) for x in range(2))
-        sums = dealt.groupBy("task").applyInArrow(_learner(shared, rates, number), "at long, value long").groupBy("at").agg(F.sum("value").alias("value"), F.count("*").alias("n")).toArrow()
+        own = dealt.where(F.pmod(F.xxhash64("key", F.lit("round")) + number, F.lit(rounds)) < repeats).repartition(tasks, "key").sortWithinPartitions("key", "doc_id", "text").select("text")
+        sums = own.mapInArrow(_learner(shared, vocabulary, rates, number, max(1.0, size / tasks), at_once), "at long, value long").groupBy("at").agg(F.sum("value").alias("value"), F.count("*").alias("n")).toArrow()
         if sums.num_rows:
             flat = np.empty(sums.num_rows)
             flat[sums["at"].to_numpy()] = sums["value"].to_numpy() / sums["n"].to_numpy() / FIXED
@@ -525,19 +577,22 @@ def score(docs: DataFrame, held_out: str, vocabulary: str = VOCABULARY, most_hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hot = shared.value
-        table = WordTable(hot, vocabulary)
+        end, table = hot.get(END.encode(), np.nan), word_table(vocabulary)
+        logs, cleared = np.zeros(0), -1
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                words = [words_of(t) for t in texts_of(part.column("text"))]
-                at = table.rows(words)
-                ids = table.ids(at)
-                scores = model.score(np.split(ids, np.cumsum([int(table.sizes[a].sum()) for a in at[:-1]])) if at else [])
+                ids, at, per = text_ids(part.column("text"), table)
+                scores = model.score(ids)
+                if cleared != table.cleared:
+                    logs, cleared = np.zeros(0), table.cleared
+                if len(logs) < len(table.words):
+                    logs = np.concatenate([logs, [hot.get(w, np.nan) for w in islice(table.words, len(logs), None)]])
                 out: list[tuple] = []
-                for own in at:
-                    logs = np.append(table.logs[own], table.end)
-                    rare, times = np.unique(own[np.isnan(logs[:-1])], return_counts=True)
-                    unknown_end = int(np.isnan(table.end))
-                    out.append((len(logs), len(logs) - int(times.sum()) - unknown_end, float(np.nansum(logs)), [table.words[r] for r in rare] + [b""] * unknown_end, times.tolist() + [1] * unknown_end))
+                for own in np.split(at, np.cumsum(per)[:-1]) if len(per) else []:
+                    own_logs = np.append(logs[own], end)
+                    rare, times = np.unique(own[np.isnan(own_logs[:-1])], return_counts=True)
+                    unknown_end = int(np.isnan(end))
+                    out.append((len(own_logs), len(own_logs) - int(times.sum()) - unknown_end, float(np.nansum(own_logs)), [table.words[r] for r in rare] + [b""] * unknown_end, times.tolist() + [1] * unknown_end))
                 table.trim()
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -193,13 +193,102 @@ class SegmentEncoder:
         return out
 
 
+def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, end to end, and where each begins, then their number. Null text counts as empty."""
+    texts = pc.fill_null(column.cast(pa.string()), "")
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, ends.astype(np.int64) - ends[0]
+
+
+def strings_of(data: np.ndarray, begins: np.ndarray) -> pa.DictionaryArray:
+    """data cut at begins (the first is 0), as codes and the distinct strings."""
+    ends = np.append(begins, len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+
+
+class _Rows(dict):
+    """Row numbers of strings, in the order in which they are first asked for."""
+
+    def __missing__(self, string: bytes) -> int:
+        n = self[string] = len(self)
+        return n
+
+
+class IdTable:
+    """Ids of the strings seen, in arrays, so that a string of a text costs one lookup. Emptied by trim() when it holds `most`
+    strings or `most_bytes` of them, which changes no result.
+
+    encode: strings to all their ids, where each one's begin, and how many it has."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 800_000, most_bytes: int = 32 << 20):
+        self.encode, self.most, self.most_bytes, self.cleared = encode, most, most_bytes, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.words, self.bytes, self.held = _Rows(), [], 0, 0
+        self.sizes, self.starts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.cleared += 1
+
+    def trim(self) -> None:
+        if len(self.words) > self.most or self.bytes > self.most_bytes:
+            self.clear()
+
+    def _grown(self, name: str, used: int, parts: list[np.ndarray]) -> None:
+        """Adds parts to an array that has spare room after its first `used` values."""
+        old, more = getattr(self, name), sum(map(len, parts))
+        if used + more > len(old):
+            new = np.empty((used + more) * 5 // 4, old.dtype)
+            new[:used] = old[:used]
+            setattr(self, name, new)
+        np.concatenate([np.zeros(0, old.dtype), *parts], out=getattr(self, name)[used : used + more], casting="unsafe")
+
+    def rows(self, strings: pa.DictionaryArray) -> np.ndarray:
+        """The row of each string; those not seen before are added."""
+        own = strings.dictionary.to_pylist()
+        at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
+        if len(self.index) > len(self.words):
+            known = len(self.words)
+            new = list(islice(self.index, known, None))
+            self.words += new
+            self.bytes += sum(map(len, new))
+            for i in range(0, len(new), 20_000):
+                ids, begins, sizes = self.encode([w.decode() for w in new[i : i + 20_000]])
+                self._grown("sizes", known + i, [sizes])
+                self._grown("starts", known + i, [begins + self.held])
+                self._grown("flat", self.held, [ids])
+                self.held += len(ids)
+        return at[strings.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all strings, end to end, and how many each has."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self.starts[rows] - ends + sizes, sizes)
+        return self.flat[at], sizes
+
+
 _ENCODERS: dict[str, SegmentEncoder] = {}
+_TABLES: dict[tuple, IdTable] = {}
+
+
+def id_table(name: str, prefix: str = "", **options) -> IdTable:
+    """One for each Python worker, kind of string and vocabulary; strings are encoded with the prefix before them."""
+    if (name, prefix) not in _TABLES:
+        flat = JsonTokenizer(name).flat
+        _TABLES[name, prefix] = IdTable(lambda some: flat([prefix + s for s in some] if prefix else some), **options)
+    return _TABLES[name, prefix]
 
 
 def forget() -> None:
     """Empties the caches that encoders have left in this Python worker, for operators that need none of them."""
     for encoder in _ENCODERS.values():
         encoder.cache.clear()
+    for table in _TABLES.values():
+        table.clear()
 
 
 class JsonTokenizer:
@@ -212,6 +301,10 @@ class JsonTokenizer:
 
         self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in own]
+        self.chars = dict(zip(others, range(256, 256 + len(others)), strict=True))  # of byte-level tokens, for bytes that aren't their own
         # a character of a byte-level token stands for a byte
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
 
@@ -221,15 +314,19 @@ class JsonTokenizer:
         return [data[a:b] for a, b in zip((4 * begins).tolist(), (4 * (begins + sizes)).tolist(), strict=True)]
 
     def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, where each text's begin among them, and how many it has. Texts that begin with a space or line
-        break and end in a letter are encoded in runs, which costs less a text: no token spans two of them, so the tokens'
-        bytes tell where each begins."""
-        plain = np.fromiter((bool(t) and t[0] in " \n" and t[-1].isalnum() for t in texts), bool, len(texts))
-        runs, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        """Ids of all texts, where each text's begin among them, and how many it has. A space and letters are one pre-token,
+        which goes to the library's model at once. Other texts that begin with a space or line break and end in a letter are
+        encoded in runs, which costs less a text: no token spans two of them, so the tokens' bytes tell where each begins."""
+        word = np.fromiter((t[:1] == " " and t[1:].isalpha() for t in texts), bool, len(texts))
+        plain = np.fromiter((bool(t) and t[0] in " \n" and t[-1].isalnum() for t in texts), bool, len(texts)) & ~word
+        words, runs, alone = np.flatnonzero(word), np.flatnonzero(plain), np.flatnonzero(~plain & ~word)
         begins, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         parts = self._ids([texts[i] for i in alone])
-        sizes[alone] = [len(x) // 4 for x in parts]
-        begins[alone] = np.cumsum(sizes[alone]) - sizes[alone]
+        for i in words:
+            parts.append(array("I", [t.id for t in self.model.tokenize(texts[i].encode().decode("latin-1").translate(self.chars))]).tobytes())
+        first = np.concatenate([alone, words])
+        sizes[first] = [len(x) // 4 for x in parts]
+        begins[first] = np.cumsum(sizes[first]) - sizes[first]
         held = int(sizes.sum())
         for at in range(0, len(runs), 400):
             own = runs[at : at + 400]

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import AWKWARD
 from hypothesis import given, settings
@@ -230,3 +231,44 @@ def test_scores_sample(sample):
     check_scores(rows, [tuple(r) for r in docs.collect()])
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > 1.1 * sum(r["base_score"] for r in held)  # even of 200 texts
+
+
+def test_weights_learn_from_every_training_text(spark):
+    """The words of one text in another order change no count, but the weights; how the rows lie changes nothing."""
+    texts = [(i, f"some words come {'before' if i % 2 else 'after'} others {i % 7}") for i in range(3000)]
+    kind = "doc_id long, text string"
+    docs = spark.createDataFrame(texts, kind)
+    # one that a share of 1,500 texts by a hash of doc_id leaves out
+    left_out = docs.where("pmod(xxhash64(xxhash64(doc_id)), 2147483648L) >= 1073741824L").first()["doc_id"]
+    other = [(i, " ".join(reversed(t.split())) if i == left_out else t) for i, t in texts]
+    words = attention.word_counts(docs).cache()
+
+    def weights(train):
+        model = attention.fit(train, words, len(texts), rounds=2, dim=4, keys=3, hidden=4)
+        return np.concatenate([x.reshape(-1) for x in model.w.values()])
+
+    own = weights(docs)
+    assert (own == weights(docs.repartition(5))).all()
+    assert (own != weights(spark.createDataFrame(other, kind))).any()
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_gradient_of_windows_that_go_on(scale):
+    """What is left out before the first scored slot has no part in the gradient."""
+    model, r = small_model(), np.random.default_rng(5)
+    model.w = {k: v if k == "mem_b" else v * scale for k, v in model.w.items()}
+    read, target, _, lengths = model.places([r.integers(0, 200, 40).astype(np.uint32)])
+    windows = model.windows(lengths)[1:]
+    slot, scored = model.slots(windows)
+    loss, grad = model.gradient(read[slot], target[slot], scored)
+    low_loss, low_grad = model.gradient(read[slot], target[slot], scored, model.overlap)
+    assert abs(loss - low_loss) < 1e-9 and all(np.isfinite(g).all() and np.allclose(g, low_grad[k]) for k, g in grad.items())
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aBZ \n\t\x0b\x1c\u3000é", max_size=20)), max_size=6), st.integers(0, 3))
+@settings(max_examples=150, deadline=None)
+def test_words_in_against_one_by_one(texts, skip):
+    words, per = attention.words_in(pa.array(texts, pa.string())[skip:])
+    own = np.array([*words.dictionary.to_pylist(), b""], object)[words.indices.to_numpy()].tolist()
+    assert per.tolist() == [len(attention.words_of(t or "")) for t in texts[skip:]]
+    assert own == [w for t in texts[skip:] for w in attention.words_of(t or "")]
