@@ -28,6 +28,20 @@ _WS = " \t-\r" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 SEGMENT = re.compile(rf"[{_WS}]*(?:[^\W_]+|(?:_|[^\w{_WS}])+[^\W_]*)|[{_WS}]+")
 
 
+#: Code points but surrogates, which no UTF-8 has.
+_EVERY = (*range(0xD800), *range(0xE000, 0x110000))
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of every code point: 0 white space, 1 letter or digit, 2 sign, 3 disputed()."""
+    out = np.full(0x110000, 2, np.uint8)
+    every = "".join(map(chr, _EVERY))
+    for kind, some in ((1, re.findall(r"[^\W_]", every)), (0, re.findall(rf"[{_WS}]", every)), (3, _disputed().findall(every))):
+        out[list(map(ord, some))] = kind
+    return out
+
+
 @functools.cache
 def _disputed() -> re.Pattern:
     """The characters that this Python and a newer Unicode table take for different kinds, most of them new letters: which
@@ -209,6 +223,34 @@ def strings_of(data: np.ndarray, begins: np.ndarray) -> pa.DictionaryArray:
     return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
 
 
+def segment_begins(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the segments of SEGMENT begin in texts as text_bytes() gives them; a disputed() text is one segment. Segments
+    begin with white space after anything else, or with a sign after a letter or digit, and with each text."""
+    if data.max(initial=0) < 128:
+        kind = _kinds()[:128][data]
+    else:
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        kind = np.repeat(_kinds()[codes], 1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF))
+    begin = np.zeros(len(data), bool)
+    space, sign = kind == 0, kind == 2
+    begin[1:] = (space[1:] & ~space[:-1]) | (sign[1:] & (kind[:-1] == 1))
+    for i in np.unique(np.searchsorted(ends, np.flatnonzero(kind == 3), "right") - 1):
+        begin[ends[i] : ends[i + 1]] = False
+    begin[ends[:-1][np.diff(ends) > 0]] = True
+    return np.flatnonzero(begin)
+
+
+def segment_ids(column: pa.Array | pa.ChunkedArray, table: IdTable) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers, by a table of segments."""
+    data, ends = text_bytes(column)
+    begins = segment_begins(data, ends)
+    ids, sizes = table.ids(table.rows(strings_of(data, begins)))
+    at = 4 * np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.searchsorted(begins, ends)]
+    table.trim()
+    flat = ids.astype("<u4").tobytes()
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 class _Rows(dict):
     """Row numbers of strings, in the order in which they are first asked for."""
 

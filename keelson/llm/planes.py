@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import atomic_output, json_encoder, open_input, run_uri, slices, task_each, texts_of
+from .common import atomic_output, id_table, open_input, run_uri, segment_ids, slices, task_each
 
 MAGIC = b"KPLN0001"
 MANIFEST = "path string, shard long, part long, docs long, tokens long, bytes long"
@@ -137,13 +137,13 @@ def write_planes(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.jso
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = json_encoder(vocabulary), int(end_id).to_bytes(4, "little")
+        table, end = id_table(vocabulary), int(end_id).to_bytes(4, "little")
         shard = TaskContext.get().partitionId()
 
         def encoded() -> Iterator[tuple]:
             for batch in batches:
-                for part in slices(batch, "text"):
-                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts_of(part.column("text"))), strict=True):
+                for part in slices(batch, "text", 2 << 20):
+                    for doc_id, ids in zip(part.column("doc_id").to_pylist(), segment_ids(part.column("text"), table), strict=True):
                         yield doc_id, ids + end
 
         rows, part = encoded(), 0

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from cases import AWKWARD
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from keelson.llm import byte_bpe, packing, planes
-from keelson.llm.common import json_encoder
+from keelson.llm.common import SEGMENT, disputed, id_table, json_encoder, segment_begins, segment_ids, text_bytes
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +57,28 @@ def test_characters_of_any_age(direct, tik):
         assert [np.frombuffer(x, "<u4").tolist() for x in by_json(texts)] == [direct(t) for t in texts]
 
 
+@given(st.lists(st.one_of(st.none(), PIECES), max_size=6), st.integers(0, 2), st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_segments_of_a_column(direct, texts, skip, full):
+    """Cut by arrays as by the pattern, and encoded as the whole, by a table that is emptied each time too."""
+    column, table = pa.array(texts, pa.string())[skip:], id_table("byte_bpe_50k.json")
+    texts = [t or "" for t in texts[skip:]]
+    data, ends = text_bytes(column)
+    begins = segment_begins(data, ends)
+    want = [x for t in texts for x in ([t] if disputed(t) else SEGMENT.findall(t)) if x]
+    assert [data[a:b].tobytes().decode() for a, b in zip(begins, [*begins, len(data)][1:], strict=True)] == want
+    most, table.most = table.most, 0 if full else table.most
+    assert [np.frombuffer(x, "<u4").tolist() for x in segment_ids(column, table)] == [direct(t) for t in texts]
+    table.most = most
+
+
+def test_column_with_characters_of_any_age(direct):
+    some = [chr(c) for c in (*range(0x20, 0x3000, 5), *range(0xA000, 0xD800, 17), *range(0xE000, 0x33500, 37))]
+    texts = [form.format(c) for c in some for form in (" {0}", "{0}'s", "a{0}'s x{0} {0}1", "'{0}!")]
+    got = segment_ids(pa.array(texts), id_table("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [direct(t) for t in texts]
+
+
 @given(st.lists(st.integers(1, 70), max_size=40), st.integers(1, 16))
 @settings(max_examples=200, deadline=None)
 def test_block_is_packed_without_gaps(lengths, capacity):
