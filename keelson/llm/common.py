@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import os
 import re
@@ -260,23 +261,36 @@ class _Rows(dict):
 
 
 class IdTable:
-    """Ids of the strings seen, in arrays, so that a string of a text costs one lookup. Emptied by trim() when it holds `most`
-    strings or `most_bytes` of them, which changes no result.
+    """Ids of the strings seen, in arrays, so that a string of a text costs one lookup. When it holds `most` strings or
+    `most_bytes` of them, trim() keeps those that two calls of rows() or more have asked for, or none if those fill half of it
+    already. That changes no result.
 
     encode: strings to all their ids, where each one's begin, and how many it has."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 800_000, most_bytes: int = 32 << 20):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 300_000, most_bytes: int = 16 << 20):
         self.encode, self.most, self.most_bytes, self.cleared = encode, most, most_bytes, 0
         self.clear()
 
     def clear(self) -> None:
         self.index, self.words, self.bytes, self.held = _Rows(), [], 0, 0
         self.sizes, self.starts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.calls = np.zeros(0, np.int32)
         self.cleared += 1
 
     def trim(self) -> None:
-        if len(self.words) > self.most or self.bytes > self.most_bytes:
-            self.clear()
+        """Afterwards rows() gives other numbers where `cleared` has grown."""
+        if len(self.words) <= self.most and self.bytes <= self.most_bytes:
+            return
+        keep = np.flatnonzero(self.calls[: len(self.words)] > 1)
+        words = [self.words[i] for i in keep.tolist()]
+        size = sum(map(len, words))
+        ids, sizes = self.ids(keep)
+        self.clear()
+        if 2 * len(words) <= self.most and 2 * size <= self.most_bytes:
+            self.index.update(zip(words, range(len(words)), strict=True))
+            self.words, self.bytes, self.held = words, size, len(ids)
+            self.sizes, self.starts, self.flat, self.calls = sizes, np.cumsum(sizes, dtype=np.int64) - sizes, ids, np.zeros(len(words), np.int32)
+        give_back()
 
     def _grown(self, name: str, used: int, parts: list[np.ndarray]) -> None:
         """Adds parts to an array that has spare room after its first `used` values."""
@@ -302,6 +316,8 @@ class IdTable:
                 self._grown("starts", known + i, [begins + self.held])
                 self._grown("flat", self.held, [ids])
                 self.held += len(ids)
+            self._grown("calls", known, [np.zeros(len(new), np.int32)])
+        self.calls[at] += 1
         return at[strings.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,6 +347,15 @@ def forget() -> None:
         encoder.cache.clear()
     for table in _TABLES.values():
         table.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives the memory that this Python worker has freed back to the system: an executor's limit holds for all its workers
+    and the JVM, and an allocator keeps what earlier stages have freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class JsonTokenizer:

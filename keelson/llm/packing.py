@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import json_encoder, slices, texts_of
+from .common import give_back, id_table, segment_ids, slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -104,7 +104,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = json_encoder(vocabulary), int(end_id).to_bytes(4, "little")
+        give_back()
+        table, end = id_table(vocabulary), int(end_id).to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 40
         held, tokens = [], 0  # (doc_id, ids, start of ids in the document, doc_tokens)
 
@@ -127,8 +128,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1
                 yield rows(out[at : at + 2000])
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                for key, ids in zip(part.column("doc_id").to_pylist(), encode(texts_of(part.column("text"))), strict=True):
+            for part in slices(batch, "text", 1 << 20):
+                for key, ids in zip(part.column("doc_id").to_pylist(), segment_ids(part.column("text"), table), strict=True):
                     ids += end
                     held.append((key, ids, 0, len(ids) // 4))
                     tokens += len(ids) // 4

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from keelson.llm import byte_bpe, packing, planes
-from keelson.llm.common import SEGMENT, disputed, id_table, json_encoder, segment_begins, segment_ids, text_bytes
+from keelson.llm.common import SEGMENT, IdTable, JsonTokenizer, disputed, id_table, json_encoder, segment_begins, segment_ids, text_bytes
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +79,23 @@ def test_column_with_characters_of_any_age(direct):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [direct(t) for t in texts]
 
 
+def test_a_table_keeps_repeated_segments_only(direct):
+    """What a worker holds is bounded, however many distinct words its texts have; ids stay the same."""
+    table = IdTable(JsonTokenizer("byte_bpe_50k.json").flat, most=100)
+    for at in range(0, 3000, 60):
+        texts = [" ".join(f"the cat{i} sat" for i in range(at, at + 60)), None, "the end"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in segment_ids(pa.array(texts), table)] == [direct(t or "") for t in texts]
+        assert len(table.words) <= 100 and len(table.index) == len(table.words) == len(set(table.words))
+    assert {b" the", b" sat"} <= set(table.words) and table.cleared > 10
+
+
+def test_tables_of_workers_are_small():
+    table = id_table("byte_bpe_50k.json")
+    segment_ids(pa.array([" ".join(f"{i:x}q" for i in range(at, at + 40_000)) for at in range(0, 400_000, 40_000)]), table)
+    assert len(table.words) <= 300_000
+    table.clear()
+
+
 @given(st.lists(st.integers(1, 70), max_size=40), st.integers(1, 16))
 @settings(max_examples=200, deadline=None)
 def test_block_is_packed_without_gaps(lengths, capacity):
