@@ -11,24 +11,26 @@ Scoring cuts a text into windows that overlap: each starts `overlap` ids before
 only ids not scored before count, so each counts once, with at least `overlap` ids before it, the text's
 first ones aside. Windows of many texts go through as one batch under one causal mask.
 
+Texts are encoded once, in the pass that counts words; later passes read their ids. A word is known by its ids, which are
+whole words' bytes: the one that begins with a space begins a word.
+
 Corpus statistics (counts of words and of ids) cover all training texts, and the weights are fitted to all windows of
 all of them, on the executors, by rounds of descent whose weights are averaged.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
-from itertools import islice
 from math import prod
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdTable, JsonTokenizer, id_table, ranges, segment_sum, slices, strings_of, text_bytes, written
+from .common import IdTable, JsonTokenizer, WordTokenizer, forget, id_table, ranges, segment_sum, slices, strings_of, text_bytes, written
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LOWER_OF = np.frombuffer(_LOWER, np.uint8)
@@ -407,7 +409,7 @@ class Descent:
 
 VOCABULARY = "byte_bpe_50k.json"
 FIXED = 2.0**24  # parts of one in which weights are summed up
-END = ""  # the end's key among the words, none of which is empty
+END = b""  # the end's key among the words, none of which is empty
 
 
 def words_in(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -427,58 +429,104 @@ def words_in(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 def word_table(vocabulary: str = VOCABULARY) -> IdTable:
     """Ids of words, each with a leading space. Holds fewer words than other encoders, for the joins' sake."""
-    return id_table(vocabulary, " ", most=400_000)
+    return id_table(vocabulary, " ", WordTokenizer, most=400_000)
 
 
-def text_ids(column: pa.Array, table: IdTable) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Each text's ids, the rows of all its words in the table, end to end, and how many words it has."""
+def text_ids(column: pa.Array, table: IdTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' ids, end to end, how many each has, the rows of all their words in the table, and how many words each has."""
     words, per = words_in(column)
     rows = table.rows(words)
     ids, sizes = table.ids(rows)
-    ends = np.cumsum(segment_sum(sizes, per).astype(np.int64))
-    return np.split(ids, ends[:-1]) if len(per) else [], rows, per
+    return ids, segment_sum(sizes, per).astype(np.int64), rows, per
+
+
+def id_kind(size: int) -> np.dtype:
+    """Of ids as they are written, of a vocabulary of this size."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
 
+def binaries(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of so many ids, end to end, as binary values."""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.tobytes())])
 
-def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
-    """word and n over all texts, and END with their number. A task adds up its words and gives them out when it holds
-    `most` distinct ones; Spark sums the rest."""
+
+def ids_of(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """What binaries() was given. No value is null."""
+    _, ends, data = column.cast(pa.binary()).buffers()
+    ends = np.frombuffer(ends, np.int32, len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(data if data is not None else b"", np.uint8)[ends[0] : ends[-1]]
+    return data.view(kind), np.diff(ends) // kind.itemsize
+
+
+def encoded(docs: DataFrame, held_out: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every text's ids: row, doc_id, held_out, key (a hash) and ids, with word null. Then, with word not null, the words (by their
+    ids, from which a word can be told) that aren't held out and how often each occurs, n; a word may come more than once.
+    The word of no ids is the end, END. A task gives its counts out when its table is full; words are encoded in this pass only."""
+    kind = id_kind(len(JsonTokenizer(vocabulary).sizes))
+    names = ["row", "doc_id", "held_out", "key", "ids", "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        table, texts = word_table(vocabulary), 0
+        counts = np.zeros(0, np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            names, counts = list(held), np.fromiter(held.values(), np.int64, len(held))
-            for at in range(0, len(names), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000], pa.binary()).cast(pa.string()), pa.array(counts[at : at + 50_000])], names=["word", "n"])
-            held.clear()
+            nonlocal counts
+            seen = np.flatnonzero(counts)
+            for at in range(0, len(seen), 50_000):
+                some = seen[at : at + 50_000]
+                ids, sizes = table.ids(some)
+                yield counted(binaries(ids.astype(kind), sizes), counts[some])
+            counts = np.zeros(0, np.int64)
+
+        def counted(words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(words), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())), words, pa.array(n)], names=names)
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                words, per = words_in(part.column("text"))
-                times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                for word, n in zip(words.dictionary.to_pylist(), times.tolist(), strict=True):
-                    held[word] += n
-                held[b""] += len(per)
-                if len(held) > most:
+            for part in slices(batch, "text", 1 << 20):
+                ids, sizes, rows, per = text_ids(part.column("text"), table)
+                learned = ~pc.fill_null(part.column("held_out"), True).to_numpy(zero_copy_only=False)
+                texts += int(learned.sum())
+                times = np.bincount(rows[np.repeat(learned, per)], minlength=len(table.words))
+                times[: len(counts)] += counts
+                counts = times
+                none = (pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:4]), binaries(ids.astype(kind), sizes), *none], names=names)
+                if table.full:
                     yield from flush()
+                    table.trim()
         yield from flush()
+        if texts:
+            yield counted(pa.array([END], pa.binary()), np.array([texts]))
+
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), doc_id.alias("doc_id"), F.expr(held_out).alias("held_out"), F.xxhash64(doc_id, text).alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, key long, ids binary, word binary, n long")
+
+
+def summed(both: DataFrame) -> DataFrame:
+    """word and n of what encoded() gives."""
+    return both.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def word_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """word (its ids) and n over all texts, and END with their number."""
+    return summed(encoded(docs, "false", vocabulary))
 
-def id_counts(words: DataFrame, vocabulary: str, size: int) -> np.ndarray:
-    """How often each id occurs, from the counts of the words: every distinct word is encoded once."""
+
+def id_counts(words: DataFrame, size: int) -> np.ndarray:
+    """How often each id of a vocabulary of this size occurs, from the counts of the words."""
+    kind = id_kind(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, encode = np.zeros(size, np.int64), JsonTokenizer(vocabulary).flat
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for part in slices(batch, "word"):
-                ids, begins, sizes = encode([" " + w for w in part.column("word").to_pylist()])
-                np.add.at(total, ids[np.repeat(begins, sizes) + ranges(sizes)], np.repeat(part.column("n").to_numpy(), sizes))
+            ids, sizes = ids_of(batch.column("word"), kind)
+            np.add.at(total, ids, np.repeat(batch.column("n").to_numpy(), sizes))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    rows = words.where(F.col("word") != END).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = words.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -487,14 +535,14 @@ def id_counts(words: DataFrame, vocabulary: str, size: int) -> np.ndarray:
 # ---------------------------------------------------------------- training and scoring
 
 
-def _learner(shared, vocabulary: str, rates: tuple[float, float], seed: int, expected: float, at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _learner(shared, kind: np.dtype, rates: tuple[float, float], seed: int, expected: float, at_once: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of a task's texts: place and value of every weight after one pass over all their windows, from the shared model's weights.
     Windows are shuffled among texts of `at_once` ids, and the rate falls over `expected` ids. Values are whole numbers, whose
     sums don't depend on their order."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        descent, table = None, word_table(vocabulary)
-        held, size, done = [], 0, 0
+        forget()
+        descent, held, size, done = None, [], 0, 0
 
         def descend() -> None:
             nonlocal descent, held, size, done
@@ -504,14 +552,12 @@ def _learner(shared, vocabulary: str, rates: tuple[float, float], seed: int, exp
             held, size, done = [], 0, done + size
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                ids, _, _ = text_ids(part.column("text"), table)
-                table.trim()
-                for own in ids:  # one by one, so that batches' bounds change nothing
-                    held.append(own)
-                    size += len(own) + 1
-                    if size >= at_once:
-                        descend()
+            ids, sizes = ids_of(batch.column("ids"), kind)
+            for own in np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []:  # one by one, so that batches' bounds change nothing
+                held.append(own)
+                size += len(own) + 1
+                if size >= at_once:
+                    descend()
         if held:
             descend()
         if descent is not None:
@@ -525,21 +571,21 @@ def fit(train: DataFrame, words: DataFrame, texts: int, vocabulary: str = VOCABU
     windows of all of them: each text takes part in one round, or in so many more that a round has about least_texts. A hash
     of the row deals the texts over the rounds, and within a round over tasks of about per_task ids, wherever they lay
     before. In a round every task goes once over its texts, all from the same weights, and their weights' means are the next
-    round's; Spark sums them up, so the driver holds one model."""
+    round's; Spark sums them up, so the driver holds one model. train: doc_id and text, or key, doc_id and ids of encoded()."""
     spark = train.sparkSession
     vocabulary_size = len(JsonTokenizer(vocabulary).sizes)
-    counts = id_counts(words, vocabulary, vocabulary_size)
+    counts = id_counts(words, vocabulary_size)
     model = AttentionModel(Units.of(counts, texts), **options)
     model.start()
     repeats = max(1, min(rounds, -(-rounds * least_texts // max(1, texts))))
     size = (int(counts.sum()) + texts) * repeats / rounds
     tasks = max(1, round(size / per_task))
-    dealt = train.withColumn("key", F.xxhash64("doc_id", "text"))
+    dealt = train if "ids" in train.columns else written(encoded(train, "false", vocabulary).where("word IS NULL"), "lm-ids")
     for number in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         rates = tuple(rate * (1 - 0.9 * (number + x) / rounds) for x in range(2))
-        own = dealt.where(F.pmod(F.xxhash64("key", F.lit("round")) + number, F.lit(rounds)) < repeats).repartition(tasks, "key").sortWithinPartitions("key", "doc_id", "text").select("text")
-        sums = own.mapInArrow(_learner(shared, vocabulary, rates, number, max(1.0, size / tasks), at_once), "at long, value long").groupBy("at").agg(F.sum("value").alias("value"), F.count("*").alias("n")).toArrow()
+        own = dealt.where(F.pmod(F.xxhash64("key", F.lit("round")) + number, F.lit(rounds)) < repeats).repartition(tasks, "key").sortWithinPartitions("key", "doc_id", "ids").select("ids")
+        sums = own.mapInArrow(_learner(shared, id_kind(vocabulary_size), rates, number, max(1.0, size / tasks), at_once), "at long, value long").groupBy("at").agg(F.sum("value").alias("value"), F.count("*").alias("n")).toArrow()
         if sums.num_rows:
             flat = np.empty(sums.num_rows)
             flat[sums["at"].to_numpy()] = sums["value"].to_numpy() / sums["n"].to_numpy() / FIXED
@@ -555,45 +601,48 @@ def score(docs: DataFrame, held_out: str, vocabulary: str = VOCABULARY, most_hot
     repeated rows come out as they are; other columns aren't read; an empty table gives no rows. Without training
     texts every count is 0.
 
-    Counts of the commonest words (at most most_hot, of 64 characters or fewer, by a threshold that a histogram of
-    the counts gives) are broadcast. The other words of a text are joined with the counts; by choice of the
-    threshold none of those words is common among the training texts.
+    Texts are encoded once, and their ids are written. Counts of the commonest words (at most most_hot, of 64 ids or fewer,
+    by a threshold that a histogram of the counts gives) are broadcast. The other words of a text are joined with the
+    counts; by choice of the threshold none of those words is common among the training texts.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr(held_out).alias("held_out"))
-    train = rows.where("NOT held_out").select("doc_id", "text")
-    words = written(word_counts(train), "lm-words")
-    sums = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END, F.col("n")))).first()
+    spark, tokenizer = docs.sparkSession, JsonTokenizer(vocabulary)
+    size = len(tokenizer.sizes)
+    kind, opening = id_kind(size), tokenizer.opening()
+    both = written(encoded(docs, held_out, vocabulary), "lm-ids")
+    rows = both.where("word IS NULL").select("row", "doc_id", "held_out", "key", "ids")
+    words = written(summed(both), "lm-words")
+    short = F.length("word") <= 64 * kind.itemsize
+    sums = words.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
     total, distinct, texts = (int(x or 0) for x in sums)
-    by_power = {int(p): n for p, n in words.where(f"length(word) <= 64 OR word = '{END}'").groupBy(F.floor(F.log2("n")).alias("p")).count().collect()}
+    by_power = {int(p): n for p, n in words.where(short).groupBy(F.floor(F.log2("n")).alias("p")).count().collect()}
     power, held = max(by_power, default=0) + 1, 0
     while power > 0 and held + by_power.get(power - 1, 0) <= most_hot:
         power -= 1
         held += by_power.get(power, 0)
-    hot_table = words.where((F.length("word") <= 64) & (F.col("n") >= 2**power)).toArrow()
+    hot_table = words.where(short & (F.col("n") >= 2**power)).toArrow()
     hot = dict(zip(hot_table["word"].cast(pa.binary()).to_pylist(), np.log10(hot_table["n"].to_numpy() + 1.0).tolist(), strict=True))
-    model = fit(train, words, texts, vocabulary, **options)
-    shared = spark.sparkContext.broadcast((model, hot))
+    model = fit(rows.where("NOT held_out"), words, texts, vocabulary, **options)
+    shared = spark.sparkContext.broadcast((model, hot, opening))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot = shared.value
-        end, table = hot.get(END.encode(), np.nan), word_table(vocabulary)
-        logs, cleared = np.zeros(0), -1
+        forget()
+        model, hot, opening = shared.value
+        end = hot.get(END, np.nan)
+        unknown_end = int(np.isnan(end))
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                ids, at, per = text_ids(part.column("text"), table)
-                scores = model.score(ids)
-                if cleared != table.cleared:
-                    logs, cleared = np.zeros(0), table.cleared
-                if len(logs) < len(table.words):
-                    logs = np.concatenate([logs, [hot.get(w, np.nan) for w in islice(table.words, len(logs), None)]])
+            for part in slices(batch, "ids", 1 << 20):
+                ids, sizes = ids_of(part.column("ids"), kind)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                scores = model.score(np.split(ids, ends[:-1]))
+                begins = np.flatnonzero(opening[ids])
+                found = strings_of(ids.view(np.uint8), begins * kind.itemsize)
+                known, at = found.dictionary.to_pylist(), found.indices.to_numpy()
+                logs = np.array([hot.get(w, np.nan) for w in known], np.float64)
                 out: list[tuple] = []
-                for own in np.split(at, np.cumsum(per)[:-1]) if len(per) else []:
+                for own in np.split(at, np.searchsorted(begins, ends[:-1])):
                     own_logs = np.append(logs[own], end)
                     rare, times = np.unique(own[np.isnan(own_logs[:-1])], return_counts=True)
-                    unknown_end = int(np.isnan(end))
-                    out.append((len(own_logs), len(own_logs) - int(times.sum()) - unknown_end, float(np.nansum(own_logs)), [table.words[r] for r in rare] + [b""] * unknown_end, times.tolist() + [1] * unknown_end))
-                table.trim()
+                    out.append((len(own_logs), len(own_logs) - int(times.sum()) - unknown_end, float(np.nansum(own_logs)), [known[r] for r in rare] + [END] * unknown_end, times.tolist() + [1] * unknown_end))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("doc_id"), part.column("held_out"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())), strict=True)), pa.array(scores)],
@@ -602,7 +651,7 @@ def score(docs: DataFrame, held_out: str, vocabulary: str = VOCABULARY, most_hot
 
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, words array<binary>, times array<long>, score double"
     scored = written(rows.mapInArrow(run, kinds), "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").cast("string").alias("word"), F.col("x.times").alias("times"))
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(words, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     none = F.lit(0)
     return scored.drop("words", "times").join(found, "row", "left").select(

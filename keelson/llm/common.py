@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import json
 import os
 import re
 import tempfile
@@ -277,9 +278,13 @@ class IdTable:
         self.calls = np.zeros(0, np.int32)
         self.cleared += 1
 
+    @property
+    def full(self) -> bool:
+        return len(self.words) > self.most or self.bytes > self.most_bytes
+
     def trim(self) -> None:
         """Afterwards rows() gives other numbers where `cleared` has grown."""
-        if len(self.words) <= self.most and self.bytes <= self.most_bytes:
+        if not self.full:
             return
         keep = np.flatnonzero(self.calls[: len(self.words)] > 1)
         words = [self.words[i] for i in keep.tolist()]
@@ -333,10 +338,10 @@ _ENCODERS: dict[str, SegmentEncoder] = {}
 _TABLES: dict[tuple, IdTable] = {}
 
 
-def id_table(name: str, prefix: str = "", **options) -> IdTable:
+def id_table(name: str, prefix: str = "", tokenizer: type[JsonTokenizer] | None = None, **options) -> IdTable:
     """One for each Python worker, kind of string and vocabulary; strings are encoded with the prefix before them."""
     if (name, prefix) not in _TABLES:
-        flat = JsonTokenizer(name).flat
+        flat = (tokenizer or JsonTokenizer)(name).flat
         _TABLES[name, prefix] = IdTable(lambda some: flat([prefix + s for s in some] if prefix else some), **options)
     return _TABLES[name, prefix]
 
@@ -384,15 +389,15 @@ class JsonTokenizer:
         """Ids of all texts, where each text's begin among them, and how many it has. A space and letters are one pre-token,
         which goes to the library's model at once. Other texts that begin with a space or line break and end in a letter are
         encoded in runs, which costs less a text: no token spans two of them, so the tokens' bytes tell where each begins."""
-        word = np.fromiter((t[:1] == " " and t[1:].isalpha() for t in texts), bool, len(texts))
+        word = np.fromiter(map(self._is_word, texts), bool, len(texts))
         plain = np.fromiter((bool(t) and t[0] in " \n" and t[-1].isalnum() for t in texts), bool, len(texts)) & ~word
         words, runs, alone = np.flatnonzero(word), np.flatnonzero(plain), np.flatnonzero(~plain & ~word)
         begins, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         parts = self._ids([texts[i] for i in alone])
-        for i in words:
-            parts.append(array("I", [t.id for t in self.model.tokenize(texts[i].encode().decode("latin-1").translate(self.chars))]).tobytes())
+        sizes[alone] = [len(x) // 4 for x in parts]
+        own, sizes[words] = self._words([texts[i] for i in words])
+        parts.append(own.tobytes())
         first = np.concatenate([alone, words])
-        sizes[first] = [len(x) // 4 for x in parts]
         begins[first] = np.cumsum(sizes[first]) - sizes[first]
         held = int(sizes.sum())
         for at in range(0, len(runs), 400):
@@ -406,10 +411,102 @@ class JsonTokenizer:
             parts.append(data)
         return np.frombuffer(b"".join(parts), np.uint32), begins, sizes
 
+    def opening(self) -> np.ndarray:
+        """Of every id whether its bytes begin with a space."""
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("a normalizer may change texts before they are cut")
+        space = chr(self.chars[32])
+        return np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(len(self.sizes))])
+
+    def _is_word(self, text: str) -> bool:
+        return text[:1] == " " and text[1:].isalpha()
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, end to end, and how many each has."""
+        parts = [[t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.chars))] for text in texts]
+        return np.fromiter(chain.from_iterable(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+class WordTokenizer(JsonTokenizer):
+    """The same ids, for many words that are new: words of up to `longest` bytes are merged side by side in arrays, each by the
+    pair of lowest rank, the leftmost of equals, as the library does one by one. A sign after the letters is a pre-token of
+    its own, of one byte."""
+
+    longest, at_once, none = 64, 4000, 1 << 30
+    signs = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+
+    def __init__(self, name: str):
+        super().__init__(name)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        own, size = model["vocab"], len(self.sizes)
+        if model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+            raise ValueError(f"{name} has no plain merges")
+        self.first = np.array([own[chr(self.chars.get(b, b))] for b in range(256)], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([own[a] * size + own[b] for a, b in pairs], np.int64)
+        self.made = np.array([own[a + b] for a, b in pairs], np.int64)
+        self.rank = np.argsort(keys, kind="stable")
+        self.keys = keys[self.rank]
+        self.is_sign = np.isin(np.arange(256), [ord(c) for c in self.signs])
+        del model, own, pairs
+        give_back()
+
+    def _is_word(self, text: str) -> bool:
+        return text[:1] == " " and (text[1:].isalpha() or text[-1] in self.signs and text[1:-1].isalpha())
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        data = [t.encode() for t in texts]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        parts, sizes, short = [], np.zeros(len(data), np.int64), lengths <= self.longest
+        for i in np.flatnonzero(~short):
+            parts.append(np.frombuffer(self._ids([texts[i]])[0], np.uint32))
+            sizes[i] = len(parts[-1])
+        number = [np.repeat(np.flatnonzero(~short), sizes[~short])]
+        some = np.flatnonzero(short)
+        for at in range(0, len(some), self.at_once):
+            own = some[at : at + self.at_once]
+            ids, word = self._merged(np.frombuffer(b"".join([data[i] for i in own]), np.uint8), lengths[own])
+            parts.append(ids)
+            number.append(own[word])
+        number = np.concatenate(number)
+        ids = np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.uint32)
+        return ids[np.argsort(number, kind="stable")], np.bincount(number, minlength=len(data))
+
+    def _ranked(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of the pair that begins at each place; `none` of no pair."""
+        key = ids[at] * len(self.sizes) + ids[at + 1]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.rank[found], self.none)
+
+    def _merged(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of so many bytes, and the number of each id's word. A word's ids are in order."""
+        ids, number, out, words = self.first[data], np.arange(len(sizes)), [], []
+        ends = np.cumsum(sizes)
+        joins = np.ones(len(ids), bool)  # whether an id may be merged with the next one
+        joins[ends - 1] = False
+        joins[ends[self.is_sign[data[ends - 1]]] - 2] = False
+        ranks, at = np.full(len(ids), self.none), np.flatnonzero(joins)
+        ranks[at] = self._ranked(ids, at)
+        while len(number):
+            best = np.minimum.reduceat(ranks << 32 | np.arange(len(ids)), np.cumsum(sizes) - sizes)
+            more = best < self.none << 32
+            at, keep = best[more] & 0xFFFFFFFF, np.repeat(more, sizes)
+            out.append(ids[~keep])
+            words.append(np.repeat(number[~more], sizes[~more]))
+            ids[at], joins[at] = self.made[best[more] >> 32], joins[at + 1]
+            keep[at + 1] = False
+            at = np.cumsum(keep)[at] - 1
+            ids, joins, ranks, sizes, number = ids[keep], joins[keep], ranks[keep], sizes[more] - 1, number[more]
+            ranks[at] = self.none
+            changed = np.concatenate([at, at[at > 0] - 1])
+            changed = changed[joins[changed]]
+            ranks[changed] = self._ranked(ids, changed)
+        return np.concatenate(out), np.concatenate(words)
+
+
 def json_encoder(name: str) -> SegmentEncoder:
     """One for each Python worker."""
     if name not in _ENCODERS:

@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keelson.llm import attention, language, quality
+from keelson.llm.common import JsonTokenizer
 from keelson.llm.ngrams import Words, char_ngrams
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,3 +274,30 @@ def test_words_in_against_one_by_one(texts, skip):
     own = np.array([*words.dictionary.to_pylist(), b""], object)[words.indices.to_numpy()].tolist()
     assert per.tolist() == [len(attention.words_of(t or "")) for t in texts[skip:]]
     assert own == [w for t in texts[skip:] for w in attention.words_of(t or "")]
+
+
+def test_texts_are_encoded_once(awkward, monkeypatch):
+    """Ids are written with the words' counts; learning reads them and encodes nothing."""
+    rows = attention.encoded(awkward, HELD).collect()
+    kind, tokenizer = attention.id_kind(50257), JsonTokenizer(attention.VOCABULARY)
+    encode = lambda words: tokenizer.encode([" " + w.decode() for w in words])
+    want, count = [], Counter()
+    for i, text in AWKWARD:
+        ids = [np.frombuffer(x, np.uint32).astype(kind).tobytes() for x in encode(attention.words_of(text or ""))]
+        held = zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+        want.append((str(i), held, b"".join(ids)))
+        count.update([] if held else [*ids, b""])
+    assert sorted((str(r["doc_id"]), r["held_out"], bytes(r["ids"])) for r in rows if r["word"] is None) == sorted(want)
+    got = Counter()
+    for r in rows:
+        if r["word"] is not None:
+            got[bytes(r["word"])] += r["n"]
+    assert got == count
+
+    model, texts = small_model(), [np.array(x, kind) for x in ([1, 2, 3], [], list(range(40)))]
+    column = attention.binaries(np.concatenate(texts), np.array([3, 0, 40]))
+    assert [x.tolist() for x in np.split(attention.ids_of(column[1:], kind)[0], [0])] == [[], list(range(40))]
+    monkeypatch.setattr(attention, "word_table", None)
+    learn = attention._learner(SimpleNamespace(value=model), kind, (0.02, 0.002), 0, 100, 10)
+    batches = [pa.RecordBatch.from_arrays([c], names=["ids"]) for c in (column, column[:0], column)]
+    assert sum(b.num_rows for b in learn(iter(batches))) == sum(w.size for w in model.w.values())

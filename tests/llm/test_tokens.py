@@ -1,6 +1,7 @@
 """Packing, plane files and byte-level BPE against the tokenizer libraries."""
 
 import base64
+import random
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from keelson.llm import byte_bpe, packing, planes
-from keelson.llm.common import SEGMENT, IdTable, JsonTokenizer, disputed, id_table, json_encoder, segment_begins, segment_ids, text_bytes
+from keelson.llm.common import SEGMENT, IdTable, JsonTokenizer, WordTokenizer, disputed, id_table, json_encoder, segment_begins, segment_ids, text_bytes
 
 
 @pytest.fixture(scope="module")
@@ -194,3 +195,12 @@ def test_bpe_awkward(awkward, empty, tik):
     rows = byte_bpe.decode(byte_bpe.encode(awkward)).collect()
     assert sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in rows), key=str) == sorted(((i, tik.encode_ordinary(t or ""), (t or "").encode()) for i, t in AWKWARD), key=str)
     assert byte_bpe.decode(byte_bpe.encode(empty)).count() == 0
+
+
+def test_words_merged_side_by_side(direct):
+    """As the library does one by one; long words, signs at the end, and what is no word, too."""
+    r = random.Random(5)
+    words = ["".join(r.choices("aeinorstTÉç日ʰ", k=r.randint(1, 12))) + r.choice(["", ".", "'", "$$", "1"]) for _ in range(3000)]
+    words += ["", "'s", ".", "a.", "ab" * 31 + "a", "ab" * 32, "ab" * 4000 + ",", "12", "\u3000"]
+    some = [" " + w for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordTokenizer("byte_bpe_50k.json").encode(some)] == list(map(direct, some))
