@@ -49,10 +49,11 @@ def exceeds_scale(c: Column, scale: int) -> Column:
 def exceeds_precision(c: Column, precision: int) -> Column:
     """Whether a number has more digits than that, before (the 0 of 0.5 counts) and after the point together, however large
     or small it is. Infinite numbers and NaN exceed any precision."""
+    # Of 10^k the double nearest to it is the bound, as its text is read: 10.0**23 is the next one above it.
     size = F.abs(c)
     body = F.when(size.isNull(), F.lit(None).cast("boolean"))
     for k in range(1, precision + 1):
-        body = body.when(size < F.lit(10.0**k if k > 18 else 10**k), exceeds_scale(c, precision - k))
+        body = body.when(size < F.lit(float(f"1e{k}") if k > 18 else 10**k), exceeds_scale(c, precision - k))
     return body.otherwise(F.lit(True))
 
 

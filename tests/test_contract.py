@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import math
 import random
 from collections import Counter
 
@@ -162,6 +163,14 @@ def test_digits(spark):
     assert [x[0] for x in exact.select(decode.exceeds_precision(F.col("x"), 3)).collect()] == [False, True, None]
 
 
+def test_precision_at_powers_of_ten(spark):
+    """10^k has k + 1 digits and the double below it at most k, whatever k; 10.0**23 isn't the double nearest to 10^23."""
+    for k in (15, 18, 19, 22, 23, 24, 29, 300):
+        values = [float(f"1e{k}"), math.nextafter(float(f"1e{k}"), 0)]
+        over = spark.createDataFrame(list(enumerate(values)), "i int, x double").where(decode.exceeds_precision(F.col("x"), k))
+        assert {r["i"] for r in over.collect()} == {i for i, x in enumerate(values) if sum(plain_digits(x)) > k}
+
+
 def test_large_and_whole_decimals(spark):
     source = "Table p {\n id int\n a decimal(5,2)\n b decimal(5)\n records (id, a, b) {\n 1, 2e20, 1\n 2, 1e25, 1.5\n 3, 99.5, 100\n }\n}"
     assert warnings(spark, source) == [("a", "Column 'a' exceeds precision 5"), ("a", "Column 'a' exceeds precision 5"), ("b", "Column 'b' exceeds scale 0")]
