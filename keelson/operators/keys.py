@@ -1,12 +1,14 @@
 """Key constraints: null keys, duplicate keys, missing parents.
 
-Duplicates are found by counting keys (partial sums before the shuffle) and a semi-join, not by a window: a
-window would bring all rows of a hot key, whole, to one task, while the semi-join moves wide rows once and
-its hot partitions can be split.
+Duplicates are found by counting keys and a semi-join, not by a window: a window would hold all rows of a hot
+key, whole, in one task. Keys of more than SMALL_MB of input are dealt out to as many tasks as their input needs
+before they are counted or joined, so that no task's memory grows with it; of a hot key, a task then reads all
+keys, narrow, but keeps one. Below that, partial sums are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -19,6 +21,9 @@ from ..model import Column as ColumnSpec
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
+#: MB of input for each task that holds keys (about 400,000 rows of lineitem), and up to which Spark's number of tasks does.
+TASK_MB, SMALL_MB = 4, 16
+
 
 def default_value(column: ColumnSpec) -> str | None:
     """The text of the default that stands for a null in a key; of an expression or `null` too, since in strict mode any
@@ -81,11 +86,30 @@ def null_key_rows(df: DataFrame, keys: list[str], defaults: dict[str, str] | Non
     return df.where(any_null(free)) if free else df.limit(0)
 
 
+def _input_mb(df: DataFrame) -> float:
+    """The size of what df is read from; 0 where Spark doesn't know it. (Its estimate of df itself multiplies the sides of joins.)"""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60) / 2**20
+
+
+def dealt(df: DataFrame, names: list[str], *frames: DataFrame) -> DataFrame:
+    """df dealt out by the columns `names`, to as many tasks as the inputs of the frames need.
+
+    With a fixed number of tasks, or with those that adaptive execution joins by compressed bytes, what a task holds to
+    count, sort or look up keys would grow with the input. A join's other side is dealt to as many tasks.
+    """
+    mb = max(map(_input_mb, frames))
+    if mb <= SMALL_MB:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(mb / TASK_MB)), *names)
+
+
 def _counted(df: DataFrame, keys: list[str], defaults: dict[str, str] | None) -> tuple[DataFrame, list[str]]:
     """k0, k1, ... and n of every whole key."""
     names = [f"k{i}" for i in range(len(keys))]
     keyed = df.select(*(c.alias(n) for c, n in zip(filled(df, keys, defaults), names, strict=True)))
-    return keyed.dropna(subset=names).groupBy(*names).agg(F.count("*").alias("n")), names
+    return dealt(keyed.dropna(subset=names), names, df).groupBy(*names).agg(F.count("*").alias("n")), names
 
 
 def duplicate_keys(df: DataFrame, keys: list[str], defaults: dict[str, str] | None = None) -> DataFrame:
@@ -138,6 +162,7 @@ def orphan_rows(source: DataFrame, keys: list[str], target: DataFrame, target_ke
     names = free_names([f"__key{i}" for i in range(len(keys))], source)
     keyed = source.withColumns(dict(zip(names, filled(source, keys, defaults, tagged, kinds), strict=True))).where(~any_null([F.col(n) for n in names]))
     known = target.select(*(c.alias(n) for c, n in zip(filled(target, target_keys, target_defaults, tagged, kinds), names, strict=True))).dropna(subset=names)
+    known = dealt(known, names, source, target)
     known = known if unique_target else known.distinct()
     return keyed.join(known, names, "left_anti").drop(*names)
 

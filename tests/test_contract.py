@@ -250,3 +250,17 @@ def test_streaming(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
     assert [r["id"] for r in spark.table("bad").collect()] == [2] and [r["id"] for r in spark.table("orphans").collect()] == [7]
+
+
+def test_tasks_that_hold_keys_grow_in_number_with_the_input(spark, tmp_path):
+    """Some 36 MB of keys, each twice: a task has a ninth of them, though Spark would use 4 tasks."""
+    spark.range(6_000_000).select(F.xxhash64(F.expr("id div 2")).alias("k")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    most = lambda found: found.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    largest, n = most(keys.duplicate_keys(df, ["k"]))
+    assert n == 3_000_000 and largest < 400_000
+    largest, n = most(keys.duplicate_rows(df, ["k"]))
+    assert n == 6_000_000 and largest < 800_000
+    largest, n = most(keys.orphan_rows(df, ["k"], df.where("k > 0"), ["k"]))
+    assert n == df.where("k <= 0").count() and largest < 450_000
+    assert keys.duplicate_count(df, ["k"]).first()[0] == 6_000_000
